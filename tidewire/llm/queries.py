@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Module, query.
-MODULES = [("decontaminate", "op2_decontaminate")]
+MODULES = [("decontaminate", "op2_decontaminate"), ("token_store", "op10_token_store")]
 
 
 def queries() -> dict:
