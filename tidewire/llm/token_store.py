@@ -31,12 +31,21 @@ from . import shared
 
 #: Every so many boundaries, the place of one is stored.
 SAMPLE = 256
-#: Distinct pieces a worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 300_000, 48
+#: Distinct pieces that a worker remembers before it starts anew.
+REMEMBERED = 500_000
 #: Bytes of text encoded at once, ids read at once.
 AT_ONCE = 2_000_000
 
 
+#: Fixed values of byte-level tokenizers: the characters that stand for bytes; in BYTES, by Latin letter.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_VISIBLE}))}
+BYTES = {c: "".join([BYTE[b] for b in chr(c).encode()]) for c in range(0xA1, 0x250)}
+#: A piece that needs no pattern: letters, then signs. Spaces that begin a piece in any text, and texts where not all do.
+LATIN, TAIL = re.compile("[!-~\u00a1-\u024f]+").fullmatch, ".,;:!?*$%&#|"
+SPLIT, ODD = re.compile(r"(?<=\S) "), re.compile(r"\s ")
+
+
 class EliasFano:
     """Ascending numbers: `low` bits of each packed, the rest in unary; select(i) gives the i-th."""
 
@@ -89,7 +98,8 @@ class Encoder:
     """Encodes as the tokenizer does, with a memory of the pieces between single spaces.
 
     The byte-level pre-tokenizer never joins what stands before a space that follows a non-space with what comes after, so
-    the ids of a text are those of its pieces, each with its leading space, one after the other.
+    the ids of a text are those of its pieces, each with its leading space, one after the other. A new piece of Latin letters,
+    then signs, is two words to the pre-tokenizer and goes to the tokenizer's model at once; any other goes the whole way.
     """
 
     def __init__(self, path: str):
@@ -97,61 +107,90 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
+        self.model = self.of.model
         made = json.loads(self.of.to_str())
         pre = made.get("pre_tokenizer") or {}
+        added = [x["content"] for x in made["added_tokens"]]
         self.pieces = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and made.get("normalizer") is None and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in made["added_tokens"])
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.wide = self.of.get_vocab_size() > 1 << 16
         self.forget()
 
     def forget(self) -> None:
         self.slot: dict[str, int] = {}
-        self.ids, self.first, self.size, self.used = np.empty(1 << 20, np.uint32), np.empty(REMEMBERED + (1 << 20), np.int64), np.empty(REMEMBERED + (1 << 20), np.int64), 0
+        self.ids, self.first, self.size, self.used = np.empty(1 << 21, np.uint32), np.empty(1 << 19, np.int64), np.empty(1 << 19, np.int64), 0
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.of.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
-        for piece, ids in zip(pieces, self.plain([f" {p}" for p in pieces])):
-            n, k = len(ids), len(self.slot)
-            if self.used + n > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty(len(self.ids) + n, np.uint32)])
-            if k == len(self.first):
-                self.first, self.size = np.concatenate([self.first, self.first]), np.concatenate([self.size, self.size])
-            self.ids[self.used : self.used + n] = ids
-            self.first[k], self.size[k] = self.used, n
-            self.slot[piece] = k
-            self.used += n
+    def put(self, at: int, slot: int, got: list[list[int]]) -> int:
+        """Writes ids from `at` and slots from `slot` on; returns where the ids end."""
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        stop, n = at + int(size.sum()), slot + len(got)
+        if stop > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(stop, np.uint32)])
+        if n > len(self.first):
+            self.first, self.size = np.concatenate([self.first, np.empty(n, np.int64)]), np.concatenate([self.size, np.empty(n, np.int64)])
+        self.ids[at:stop] = np.fromiter((i for x in got for i in x), np.uint32, stop - at)
+        self.first[slot:n], self.size[slot:n] = at + np.cumsum(size) - size, size
+        return stop
+
+    def new(self, pieces: list[str]) -> list[list[int]]:
+        model, added, tails, known = self.model.tokenize, self.added.search, {}, self.slot.get
+        out: list = []
+        rest = []
+        for p in pieces:
+            core = p.rstrip(TAIL)
+            if not core.isalpha() or not LATIN(p) or added(p):
+                rest.append(len(out))
+                out.append(None)
+                continue
+            tail = p[len(core) :]
+            if tail and (k := known(core)) is not None:
+                ids = self.ids[self.first[k] : self.first[k] + self.size[k]].tolist()
+            else:
+                ids = [t.id for t in model("\u0120" + (core if core.isascii() else core.translate(BYTES)))]
+            if tail:
+                if (more := tails.get(tail)) is None:
+                    more = tails[tail] = [t.id for t in model(tail)]
+                ids += more
+            out.append(ids)
+        for i, ids in zip(rest, self.plain([f" {pieces[i]}" for i in rest])):
+            out[i] = ids
+        return out
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, `end` after each, and the number of each."""
         if not self.pieces:
             got = [[*x, end] for x in self.plain(texts)]
             return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
-        if len(self.slot) > REMEMBERED:
+        if len(self.slot) > REMEMBERED or self.used > 8 * REMEMBERED:
             self.forget()
-        split = [re.split(r"(?<=\S) ", t) if re.search(r"\s ", t) else t.split(" ") for t in texts]
-        heads = self.plain([x[0] for x in split])
+        heads, row, count = [], [], []
+        for t in texts:
+            x = SPLIT.split(t) if ODD.search(t) else t.split(" ")
+            heads.append(x[0])
+            x[0] = None
+            row += x
+            row.append(None)
+            count.append(len(x) + 1)
         get = self.slot.get
-        if new := {p for x in split for p in x[1:] if p not in self.slot}:
-            self.learn([p for p in new if len(p) <= LONGEST])
-        rare = [p for p in new if len(p) > LONGEST]
-        long = dict(zip(rare, self.plain([f" {p}" for p in rare]))) if rare else {}
-        parts, sizes = [], []
-        for head, x in zip(heads, split):
-            slots = [get(p, -1) for p in x[1:]]
-            if long and -1 in slots:
-                ids = [*head]
-                for p, s in zip(x[1:], slots):
-                    ids += long[p] if s < 0 else self.ids[self.first[s] : self.first[s] + self.size[s]].tolist()
-                parts.append(np.array([*ids, end], np.uint32))
-            else:
-                at = np.array(slots, np.int64)
-                size = self.size[at]
-                stop = np.cumsum(size)
-                place = np.repeat(self.first[at] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)
-                parts += [np.array(head, np.uint32), self.ids[place], np.array([end], np.uint32)]
-            sizes.append(len(parts[-1]) if long and -1 in slots else len(head) + len(place) + 1)
-        return np.concatenate(parts) if parts else np.empty(0, np.uint32), np.array(sizes, np.int64)
+        slots = np.fromiter([get(p, -1) for p in row], np.int64, len(row))
+        stop = np.cumsum(count)
+        start = stop - count
+        missing = np.flatnonzero(slots < 0)
+        if new := dict.fromkeys(p for k in missing.tolist() if (p := row[k]) is not None):
+            k = len(self.slot)
+            self.used = self.put(self.used, k, self.new(list(new)))
+            self.slot.update(zip(new, range(k, k + len(new))))
+            slots[missing] = [get(row[k], -1) for k in missing.tolist()]
+        k = len(self.slot)  # heads and the end stand behind what is kept
+        self.put(self.used, k, [*self.plain(heads), [end]])
+        slots[start], slots[stop - 1] = np.arange(k, k + len(heads)), k + len(heads)
+        size = self.size[slots]
+        upto = np.cumsum(size)
+        place = np.repeat(self.first[slots] - upto + size, size) + np.arange(int(upto[-1]) if len(upto) else 0)
+        return self.ids[place], np.add.reduceat(size, start) if len(start) else np.empty(0, np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
