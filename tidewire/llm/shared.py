@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -29,6 +30,27 @@ def keep(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, keys: list[Column], name: str, add_up: tuple[str, ...] = ()) -> DataFrame:
+    """df with `pos`, each row's place in the order of keys from 0, and for each column c of add_up `c_before`, its sum over the rows ahead.
+
+    Rows are dealt by ranges of the keys and, among equal keys, of a number of their own; the range's number is written
+    with them. Places within a range and the ranges' totals, a row for each partition, add up to places in the whole.
+    """
+    keys = [*keys, F.col("n_").asc()]
+    dealt = df.withColumn("n_", F.monotonically_increasing_id()).repartitionByRange(*keys)
+    kept = keep(dealt.withColumn("range_", F.spark_partition_id()), name)
+    sums = [F.sum(c).alias(f"{c}_before") for c in add_up]
+    totals = kept.groupBy("range_").agg(F.count(F.lit(1)).alias("pos"), *sums)
+    ahead = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    names = ["pos", *(f"{c}_before" for c in add_up)]
+    totals = totals.select(F.col("range_").alias("r_"), *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}__") for c in names])
+    joined = kept.join(F.broadcast(totals), F.col("range_") == F.col("r_"))
+    within = Window.partitionBy("range_").orderBy(*keys)
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    places = {"pos": F.row_number().over(within) - 1 + F.col("pos__")} | {f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0)) + F.col(f"{c}_before__") for c in add_up}
+    return joined.withColumns(places).drop("n_", "range_", "r_", *(f"{c}__" for c in names))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
