@@ -60,10 +60,10 @@ def read_turns(formatted: Column) -> Column:
     """Array of (role, text) of a formatted conversation."""
 
     def turns(block: Column) -> Column:
-        raw = F.substring_index(F.substr(block, F.lit(len(BEGIN) + 1)), "\n", 1)
-        role = unescaped(F.replace(raw, F.lit("&#10;"), F.lit("\n")))
-        texts = F.split(F.substr(block, F.lit(len(BEGIN) + 2) + F.length(raw)), NEXT)
-        return F.transform(texts, lambda x: F.struct(role.alias("role"), unescaped(x).alias("text")))
+        raw = F.substr(F.substring_index(block, "\n", 1), F.lit(len(BEGIN) + 1))
+        texts = F.split(F.substr(block, F.length(F.substring_index(block, "\n", 1)) + 2), NEXT)
+        role = F.array(unescaped(F.replace(raw, F.lit("&#10;"), F.lit("\n"))))  # found once for a block
+        return F.get(F.transform(role, lambda r: F.transform(texts, lambda x: F.struct(r.alias("role"), unescaped(x).alias("text")))), F.lit(0))
 
     return F.flatten(F.transform(_blocks(formatted), turns))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Module, query.
-MODULES = [("decontaminate", "op2_decontaminate"), ("warc", "op4_warc_audit"), ("licenses", "op5_license_scan"), ("chat", "op6_format_chat"), ("quality", "op7_quality_rules"), ("set_join", "op8_jaccard_join"), ("mixing", "op9_mix_sources"), ("token_store", "op10_token_store")]
+MODULES = [("line_dedup", "op1_line_dedup"), ("decontaminate", "op2_decontaminate"), ("warc", "op4_warc_audit"), ("licenses", "op5_license_scan"), ("chat", "op6_format_chat"), ("quality", "op7_quality_rules"), ("set_join", "op8_jaccard_join"), ("mixing", "op9_mix_sources"), ("token_store", "op10_token_store")]
 
 
 def queries() -> dict:
