@@ -16,6 +16,27 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one link up, to a node without any."""
+    up = edges.groupBy("u").agg(F.count(F.lit(1)).alias("c"))
+    tops = edges.select(F.col("v").alias("top")).distinct()
+    found = up.join(tops, F.col("u") == F.col("top"), "left").agg(F.max("c"), F.count("top")).first()
+    return tuple(found) == (1, 0)
+
+
+def labels(links: DataFrame, steps: int = 2, u: str = "u", v: str = "v") -> DataFrame:
+    """node, root: for each node of a link, a node that it is connected with, some steps towards the smallest. Equal roots mean one component; unequal ones may."""
+    both = links.select(F.col(u).alias("u"), F.col(v).alias("v")).unionByName(links.select(F.col(v).alias("u"), F.col(u).alias("v")))
+    found = both.select(F.col("u").alias("node"), F.least("u", "v").alias("root")).groupBy("node").agg(F.min("root").alias("root"))
+    for step in range(steps):
+        if step:
+            near = both.join(found, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("near"))
+            found = found.join(near, F.col("node") == F.col("u")).select("node", F.least("root", "near").alias("root"))
+        then = found.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        found = shared.keep(found.join(then, "root").select("node", F.col("next").alias("root")), "labels")
+    return found
+
+
 def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """node, root: for each node of a link, the smallest node it is connected with. Self-links and repeated links change nothing; null ends are dropped."""
     a, b = F.col(u), F.col(v)
@@ -26,12 +47,12 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         # Each node's larger neighbours move to its smallest one; then its smaller neighbours do.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = shared.keep(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         after = _state(edges)
-        if after == before:
+        if after == before or not after[0] or _stars(edges):
             break
         before = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

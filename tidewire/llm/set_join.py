@@ -27,19 +27,21 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .components import components
+from .components import components, labels
 from .shingles import digests, mix, shingles
 
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Elements a task holds before it deals them out.
 HELD = 2_000_000
-#: Sizes at which sets may be light; pairs between components that are scanned all at once rather than by hubs; hub rounds at most.
-LIGHT, ALL_PAIRS, HUB_ROUNDS = range(4, 25), 2_000_000, 6
+#: Classes up to this number are broadcast to find their documents again, 24 bytes each; more are joined by shuffle.
+BROADCAST_CLASSES = 400_000
+#: Sizes at which sets may be light; as many pairs between components for each posting are scanned all at once; hub rounds at most before that; words of a bitmap.
+LIGHT, PAIRS_EACH, HUB_ROUNDS, BITMAP = range(4, 25), 200, 4, 16
 
 
 def overlap(a: int, b: int) -> int:
@@ -138,7 +140,9 @@ def _dealt(rows: DataFrame, parts: int, kind: str) -> DataFrame:
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, n, elements of the wanted classes, made anew from the text of each one's first document."""
-    picked = rows.join(wanted.select(F.col("id").alias("id_"), F.col("d1").alias("node"), "d2"), F.col("id").eqNullSafe(F.col("id_")), "inner").select("node", "d2", "text")
+    few = wanted.select(F.col("id").alias("id_"), F.col("d1").alias("node"), "d2")
+    few = F.broadcast(few) if wanted.count() <= BROADCAST_CLASSES else few
+    picked = rows.join(few, F.col("id").eqNullSafe(F.col("id_")), "inner").select("node", "d2", "text")
 
     def run(batches):
         for b in batches:
@@ -154,11 +158,11 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _ordered(sets: DataFrame) -> DataFrame:
-    """node, n, elements: those that occur in two sets or more, rarest first; sets with too few of them are gone."""
+    """node, n, elements: those that occur in two sets or more, rarest first; common: how many sets hold an element, on average. Sets with too few are gone."""
     each = sets.select("node", "n", F.explode("elements").alias("e"))
     common = each.groupBy("e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    met = each.join(common, "e").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("x"))
-    return met.where(F.size("x") >= least_shared(F.col("n"))).select("node", "n", F.col("x.e").alias("elements"))
+    met = each.join(common, "e").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("x"), (F.sum("df") / F.col("n")).alias("common"))
+    return met.where(F.size("x") >= least_shared(F.col("n"))).select("node", "n", F.col("x.e").alias("elements"), "common")
 
 
 def light_cost(n: int, limit: int) -> int:
@@ -205,42 +209,72 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(b, "v").join(a, "u").where(100 * met >= PERCENT * (F.col("nu") + F.col("nv") - met)).select("u", "v")
 
 
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """node, b0, b1, ...: for each set the parity of its elements in each of 64 * BITMAP places. Where two bitmaps differ, so do the sets."""
+
+    def run(batches):
+        for b in batches:
+            e = b.column(1)
+            size = np.diff(e.offsets.to_numpy())
+            h = e.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            maps = np.zeros((len(size), BITMAP), np.uint64)
+            np.bitwise_xor.at(maps, (np.repeat(np.arange(len(size)), size), (h >> np.uint64(6)) % np.uint64(BITMAP)), np.uint64(1) << (h & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(maps[:, k].view(np.int64)) for k in range(BITMAP))], ["node", *(f"b{k}" for k in range(BITMAP))])
+
+    return sets.select("node", "elements").mapInArrow(run, "node long, " + ", ".join(f"b{k} long" for k in range(BITMAP)))
+
+
+def _unlike(lists: DataFrame) -> DataFrame:
+    """One of the lists with the same members each, of those with two or more: near copies share many, and any of them leads to the same pairs."""
+    kinds = lists.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b")).where("c > 1")
+    return lists.join(kinds.groupBy("c", "a", "b").agg(F.min("e").alias("e")).select("e"), "e", "left_semi")
+
+
 def _heavy(sets: DataFrame, limit: int) -> DataFrame:
     """Links that join up all components of the heavy."""
     heavy = sets.where(F.col("n") * 100 >= PERCENT * (limit + 1))
     held = F.size("elements") - least_shared(F.col("n")).cast("int") + 1
-    lists = shared.keep(heavy.select("node", "n", F.posexplode(F.slice("elements", F.lit(1), held)).alias("at", "e"), F.size("elements").alias("left")), "lists")
-    links = None
-    roots = None
+    own = ["node", "n", "at", "left", "common"]
+    lists = heavy.select("node", "n", "common", F.posexplode(F.slice("elements", F.lit(1), held)).alias("at", "e"), F.size("elements").alias("left"))
+    lists = shared.keep(_unlike(lists.withColumn("root", F.col("node"))), "lists")
+    links, before, first = None, None, None
     for turn in range(HUB_ROUNDS + 1):
-        # A node's component so far, by itself if it has no link yet.
-        now = lists if roots is None else lists.join(roots, F.col("node") == F.col("node_"), "left").drop("node_")
-        now = now.withColumn("root", F.coalesce("root", "node") if roots is not None else F.col("node"))
         if turn:
-            apart = now.groupBy("e", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("e").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-            left = apart.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-            if not left:
+            # Lists whose members are one component by now have nothing left to find.
+            roots = labels(links)
+            now = lists.drop("root").join(roots.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").drop("node_").withColumn("root", F.coalesce("root", "node"))
+            apart = now.groupBy("e").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("e")
+            lists = shared.keep(now.join(apart, "e", "left_semi"), "apart")
+            sizes = lists.groupBy("e", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("e").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+            rows, left = sizes.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
+            if not rows:
                 break
-        last = turn == HUB_ROUNDS or turn and (left <= ALL_PAIRS or not progress)
-        if last:
-            # Whatever is still apart: every pair of a list between two components, by the bound from places in the lists.
-            x, y = now.alias("x"), now.alias("y")
-            pairs = x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.root") < F.col("y.root")))
+            first = first or rows
+            last = turn == HUB_ROUNDS or left <= PAIRS_EACH * first or before is not None and left > 0.7 * before
+            before = left
         else:
-            by = F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("n")).alias("h"), "node", "n", "root", "at", "left")
-            hubs = now.groupBy("e").agg(F.min(by).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("e", "hub.node", "hub.n", "hub.root", "hub.at", "hub.left")
-            pairs = hubs.alias("x").join(now.alias("y"), F.col("x.e") == F.col("y.e")).where(F.col("x.root") != F.col("y.root"))
+            last = False
         n, m = F.col("x.n"), F.col("y.n")
-        rest = 1 + F.least(F.col("x.left") - F.col("x.at"), F.col("y.left") - F.col("y.at")) + F.least("x.at", "y.at")
-        pairs = pairs.where((100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * rest >= PERCENT * (n + m)))
+        # The most that two sets can share: what follows their places in this list, and what comes before.
+        most = 1 + F.least(F.col("x.left") - F.col("x.at"), F.col("y.left") - F.col("y.at")) + F.least("x.at", "y.at")
+        may = (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * most >= PERCENT * (n + m))
+        if last:
+            # Whatever is still apart: every pair of a list between two components, if places and bitmaps leave it a chance.
+            marked = lists.join(_bitmaps(sets.join(lists.select("node").distinct(), "node", "left_semi")), "node")
+            x, y = marked.alias("x"), marked.alias("y")
+            differ = sum((F.bit_count(F.col(f"x.b{k}").bitwiseXOR(F.col(f"y.b{k}"))) for k in range(BITMAP)), F.lit(0))
+            alike = (100 + PERCENT) * (F.col("x.left") + F.col("y.left") - differ) >= 2 * PERCENT * (n + m)
+            pairs = x.join(y, (F.col("x.e") == F.col("y.e")) & (F.col("x.root") < F.col("y.root")) & may & alike)
+        else:
+            # The hub of a list shares most with other sets: of copies that differ each in their own way, the one they come from.
+            by = F.struct(F.col("common").alias("h") if not turn else F.xxhash64("node", F.lit(turn)).alias("h"), *own, "root")
+            hubs = lists.groupBy("e").agg(F.max(by).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("e", *[f"hub.{c}" for c in (*own, "root")])
+            pairs = hubs.alias("x").join(lists.alias("y"), F.col("x.e") == F.col("y.e")).where((F.col("x.root") != F.col("y.root")) & may)
         pairs = pairs.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
         found = shared.keep(_verified(pairs, sets), "found")
-        progress = not found.isEmpty()
         links = found if links is None else links.unionByName(found)
         if last:
             break
-        if progress:
-            roots = components(links).select(F.col("node").alias("node_"), "root")
     return links
 
 
@@ -269,10 +303,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one of each component kept: the row with the smallest id; of rows with that id, one with the component's text."""
-    found = classes(docs, id_col, text_col)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("id_"), F.col("n_shingles").alias("n_")).distinct()
-    return docs.join(kept.select("id_").distinct(), F.col(id_col).eqNullSafe(F.col("id_")), "left_semi")
+    """The documents with one of each component kept: the first by id and hash of the text. Of rows equal in both, one stays."""
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
+    found = classes(docs.select(key.alias("id"), F.col(text_col).alias("text")), "id", "text")
+    kept = found.where(F.col("id") == F.col("component_id")).select(F.col("id.id").alias("id_"), F.col("id.th").alias("th_")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
+    met = rows.join(kept, F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("id", "th").orderBy("th"))
+    return met.withColumn("k_", first).where("k_ = 1").select("row.*")
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _power = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_power.get("up", ())) < n:
         for name, r in (("up", _R), ("down", pow(_R, -1, 1 << 64))):
             p = np.full(n, r, U)
@@ -37,14 +37,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word."""
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word."""
     b = np.frombuffer(data, np.uint8)
     edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[b], [True]])))
     start, end = edge[::2], edge[1::2]
-    up, down = _powers(len(b) + 1)
+    up, down = powers(len(b) + 1)
     total = np.concatenate([np.zeros(1, U), np.cumsum(_BYTES[b] * up[:-1], dtype=U)])
-    return start, mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+    return start, end, mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
 
 
 def _long(text: bytes) -> np.ndarray:
@@ -54,7 +54,7 @@ def _long(text: bytes) -> np.ndarray:
         to = min(len(text), at + AT_ONCE)
         while to < len(text) and text[to] not in b" \t\n\r\x0b\x0c":
             to += 1
-        out.append(_words(text[at:to])[1])
+        out.append(word_hashes(text[at:to])[2])
         at = to
     return np.concatenate(out)
 
@@ -76,7 +76,7 @@ def shingles(texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray,
             w = _long(some[0])
             doc = np.zeros(len(w), np.int64)
         else:
-            start, w = _words(b" ".join(some))
+            start, _, w = word_hashes(b" ".join(some))
             at = np.cumsum([0, *(len(t) + 1 for t in some)])
             doc = np.searchsorted(at, start, "right") - 1
         n = np.bincount(doc, minlength=len(some))
