@@ -1,0 +1,3 @@
+from .queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

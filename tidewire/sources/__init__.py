@@ -1,0 +1,3 @@
+from .articles import CORE, DROPPABLE, NULL_TOKENS, conform, from_tables, read_articles, write_tables
+
+__all__ = ["CORE", "DROPPABLE", "NULL_TOKENS", "conform", "from_tables", "read_articles", "write_tables"]

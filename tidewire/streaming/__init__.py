@@ -1,0 +1,3 @@
+from .volumes import dedup_stream, read_event_stream, session_volumes, tumbling_volumes
+
+__all__ = ["dedup_stream", "read_event_stream", "session_volumes", "tumbling_volumes"]
