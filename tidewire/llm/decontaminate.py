@@ -11,6 +11,7 @@ names, are not looked at. An empty benchmark leaves every document clean.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 #: Byte to byte: A-Z to lower case, what is not a word to a space.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 STRETCHES = "array<struct<start:int,end:int>>"
@@ -74,15 +77,20 @@ def scan_text(text: bytes, patterns: ahocorasick.Automaton | None) -> tuple[int,
     return len(w), int(hit.sum()), sorted({x for _, (_, ids) in found for x in ids}), runs, spans
 
 
-_built: dict[tuple[int, int], ahocorasick.Automaton | None] = {}
+_built: dict[tuple[str, int], ahocorasick.Automaton | None] = {}
 
 
-def _patterns(items, window: int):
-    """Built once in each worker."""
-    if (key := (items.id if hasattr(items, "id") else id(items), window)) not in _built:
+def _patterns(told, window: int):
+    """Built once in each worker, for the block that the name broadcast with it stands for."""
+    name, items = told.value
+    if (name, window) not in _built:
         _built.clear()
-        _built[key] = automaton(items.value, window)
-    return _built[key]
+        _built[name, window] = automaton(items, window)
+    return _built[name, window]
+
+
+def _told(spark, block: list[tuple[str, bytes]]):
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, bytes]]]:
@@ -115,11 +123,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str =
 
         return run
 
-    parts = [scanner(spark.sparkContext.broadcast(b)) for b in _blocks(benchmark, item_col, text_col)]
+    parts = [scanner(_told(spark, b)) for b in _blocks(benchmark, item_col, text_col)]
     if len(parts) == 1:
         return rows.mapInArrow(parts[0], SCHEMA.format(kind=kind)).drop("runs").withColumnRenamed("id", id_col)
     # Several blocks: documents get a number of their own by which their parts meet again; texts aren't shuffled.
-    numbered = rows.withColumn("n", F.monotonically_increasing_id())
+    numbered = shared.keep(rows.withColumn("n", F.monotonically_increasing_id()), "numbered")
     return _merged([numbered.select(F.struct("n", "id").alias("id"), "text").mapInArrow(p, SCHEMA.format(kind=f"struct<n:long,id:{kind}>")) for p in parts]).withColumnRenamed("id", id_col)
 
 
@@ -153,9 +161,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str =
     blocks = list(_blocks(benchmark, item_col, "text"))
     if len(blocks) > 1:
         numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("n"), F.col(text_col).alias("text"))
+        numbered = shared.keep(numbered, "numbered")
         good = flagged(numbered, benchmark, window=window, id_col="n", item_col=item_col).where(~F.col("contaminated")).select("n")
         return numbered.join(good, "n", "left_semi").select("row.*")
-    items = docs.sparkSession.sparkContext.broadcast(blocks[0])
+    items = _told(docs.sparkSession, blocks[0])
     at = docs.columns.index(text_col)
 
     def run(batches):
