@@ -13,7 +13,7 @@ import numpy as np
 U = np.uint64
 WORDS = 5
 #: Bytes of text hashed at once.
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
 _R = 0x9E3779B97F4A7C15 | 3
 _BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 256, U)
 _BYTES[65:91] = _BYTES[97:123]
@@ -25,12 +25,18 @@ _power = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_power.get("up", ())) < n:
         for name, r in (("up", _R), ("down", pow(_R, -1, 1 << 64))):
-            p = np.full(n, r, U)
+            p = np.full(1 << max(20, (n - 1).bit_length()), r, U)
             p[0] = 1
             _power[name] = np.cumprod(p, dtype=U)
     return _power["up"][:n], _power["down"][:n]
 
 
+def slices(batch, rows: int = 1000):
+    """A batch in parts of so many rows: what is made of a part is let go before the next."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)

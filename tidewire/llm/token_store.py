@@ -11,13 +11,14 @@ stand together in any order. Other columns are not looked at. An empty table giv
 
 from __future__ import annotations
 
+import gc
 import io
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
+from .shingles import mix, powers
 
 #: Every so many boundaries, the place of one is stored.
 SAMPLE = 256
@@ -41,9 +43,9 @@ AT_ONCE = 2_000_000
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_VISIBLE}))}
 BYTES = {c: "".join([BYTE[b] for b in chr(c).encode()]) for c in range(0xA1, 0x250)}
-#: A piece that needs no pattern: letters, then signs. Spaces that begin a piece in any text, and texts where not all do.
-LATIN, TAIL = re.compile("[!-~\u00a1-\u024f]+").fullmatch, ".,;:!?*$%&#|"
-SPLIT, ODD = re.compile(r"(?<=\S) "), re.compile(r"\s ")
+#: A piece that needs no pattern: a space, letters up to this one, then signs.
+LATIN, TAIL = "\u024f", ".,;:!?*$%&#|"
+_VALUES = np.random.Generator(np.random.PCG64(20240301)).integers(0, 1 << 64, 256, np.uint64)
 
 
 class EliasFano:
@@ -94,12 +96,18 @@ class EliasFano:
         return cls(n, low, np.frombuffer(data, np.uint8, a, at), np.frombuffer(data, np.uint8, b, at + a), np.frombuffer(data, f"<u{wide}", c, at + a + b))
 
 
+def flat(got: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, got), np.int64, len(got))
+    return np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum())), size
+
+
 class Encoder:
     """Encodes as the tokenizer does, with a memory of the pieces between single spaces.
 
     The byte-level pre-tokenizer never joins what stands before a space that follows a non-space with what comes after, so
-    the ids of a text are those of its pieces, each with its leading space, one after the other. A new piece of Latin letters,
-    then signs, is two words to the pre-tokenizer and goes to the tokenizer's model at once; any other goes the whole way.
+    the ids of a text are those of its pieces, each with its leading space, one after the other. Pieces are found and told
+    apart by 64-bit hashes, many at once; a new piece of Latin letters, then signs, is two words to the pre-tokenizer and
+    goes to the tokenizer's model at once; any other goes the whole way.
     """
 
     def __init__(self, path: str):
@@ -111,86 +119,113 @@ class Encoder:
         made = json.loads(self.of.to_str())
         pre = made.get("pre_tokenizer") or {}
         added = [x["content"] for x in made["added_tokens"]]
-        self.pieces = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and made.get("normalizer") is None and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in made["added_tokens"])
-        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self.pieces = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and made.get("normalizer") is None and all(not x["lstrip"] and not x["rstrip"] and not x["single_word"] for x in made["added_tokens"])
+        # An added token must not be cut by a space, nor look like letters and signs.
+        self.pieces = self.pieces and all(" " not in x and not x.rstrip(TAIL).isalpha() for x in added)
         self.wide = self.of.get_vocab_size() > 1 << 16
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.ids, self.first, self.size, self.used = np.empty(1 << 21, np.uint32), np.empty(1 << 19, np.int64), np.empty(1 << 19, np.int64), 0
+        """slot: of a piece's hash; words, signs: slots of the words after a space and of the signs after them that pieces are made of."""
+        self.slot: dict[int, int] = {}
+        self.words: dict[str, int] = {}
+        self.signs: dict[str, int] = {}
+        self.ids, self.first, self.size, self.used, self.slots = np.empty(1 << 21, np.uint32), np.empty(1 << 19, np.int64), np.empty(1 << 19, np.int64), 0, 0
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.of.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def put(self, at: int, slot: int, got: list[list[int]]) -> int:
-        """Writes ids from `at` and slots from `slot` on; returns where the ids end."""
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        stop, n = at + int(size.sum()), slot + len(got)
+    def add(self, ids: np.ndarray, size: np.ndarray) -> range:
+        """Slots for runs of ids of these sizes."""
+        stop, n = self.used + len(ids), self.slots + len(size)
         if stop > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(stop, np.uint32)])
         if n > len(self.first):
             self.first, self.size = np.concatenate([self.first, np.empty(n, np.int64)]), np.concatenate([self.size, np.empty(n, np.int64)])
-        self.ids[at:stop] = np.fromiter((i for x in got for i in x), np.uint32, stop - at)
-        self.first[slot:n], self.size[slot:n] = at + np.cumsum(size) - size, size
-        return stop
-
-    def new(self, pieces: list[str]) -> list[list[int]]:
-        model, added, tails, known = self.model.tokenize, self.added.search, {}, self.slot.get
-        out: list = []
-        rest = []
-        for p in pieces:
+        self.ids[self.used : stop] = ids
+        self.first[self.slots : n], self.size[self.slots : n] = self.used + np.cumsum(size) - size, size
+        new = range(self.slots, n)
+        self.used, self.slots = stop, n
+        return new
+
+    def gathered(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[slots]
+        upto = np.cumsum(size)
+        place = np.repeat(self.first[slots] - upto + size, size)
+        place += np.arange(len(place))
+        return self.ids[place], size
+
+    def learn(self, pieces: list[str], keys: list[int]) -> None:
+        """Gives each piece that follows a space a slot, and each word and run of signs that pieces are made of."""
+        known, signs, model, space = self.words, self.signs, self.model.tokenize, BYTE[32]
+        words, whole, whole_keys, cores, tails, signed_keys, rest, rest_keys = {}, [], [], [], [], [], [], []
+        for p, key in zip(pieces, keys):
             core = p.rstrip(TAIL)
-            if not core.isalpha() or not LATIN(p) or added(p):
-                rest.append(len(out))
-                out.append(None)
+            if not core.isalpha() or not p.isascii() and max(p) > LATIN:
+                rest.append(f" {p}")
+                rest_keys.append(key)
                 continue
-            tail = p[len(core) :]
-            if tail and (k := known(core)) is not None:
-                ids = self.ids[self.first[k] : self.first[k] + self.size[k]].tolist()
+            if core not in known:
+                words[core] = None
+            n = len(core)
+            if n == len(p):
+                whole.append(p)
+                whole_keys.append(key)
             else:
-                ids = [t.id for t in model("\u0120" + (core if core.isascii() else core.translate(BYTES)))]
-            if tail:
-                if (more := tails.get(tail)) is None:
-                    more = tails[tail] = [t.id for t in model(tail)]
-                ids += more
-            out.append(ids)
-        for i, ids in zip(rest, self.plain([f" {pieces[i]}" for i in rest])):
-            out[i] = ids
-        return out
-
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+                cores.append(core)
+                tails.append(tail := p[n:])
+                signed_keys.append(key)
+                if tail not in signs:
+                    signs.update(zip([tail], self.add(*flat([[t.id for t in model(tail)]]))))
+        made = [model(space + (w if w.isascii() else w.translate(BYTES))) for w in words]
+        known.update(zip(words, self.add(*flat([[t.id for t in x] for x in made]))))
+        self.slot.update(zip(whole_keys, map(known.__getitem__, whole)))
+        self.slot.update(zip(rest_keys, self.add(*flat(self.plain(rest)))))
+        pairs = np.empty(2 * len(cores), np.int64)
+        pairs[::2] = np.fromiter(map(known.__getitem__, cores), np.int64, len(cores))
+        pairs[1::2] = np.fromiter(map(signs.__getitem__, tails), np.int64, len(cores))
+        ids, size = self.gathered(pairs)
+        self.slot.update(zip(signed_keys, self.add(ids, size[::2] + size[1::2])))
+
+    def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, `end` after each, and the number of each."""
         if not self.pieces:
-            got = [[*x, end] for x in self.plain(texts)]
-            return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
-        if len(self.slot) > REMEMBERED or self.used > 8 * REMEMBERED:
+            return flat([[*x, end] for x in self.plain([t.decode() for t in texts])])
+        if self.slots > REMEMBERED or self.used > 8 * REMEMBERED:
             self.forget()
-        heads, row, count = [], [], []
-        for t in texts:
-            x = SPLIT.split(t) if ODD.search(t) else t.split(" ")
-            heads.append(x[0])
-            x[0] = None
-            row += x
-            row.append(None)
-            count.append(len(x) + 1)
+        data = b"".join(texts)
+        doc = np.cumsum([0, *map(len, texts)])
+        begin, hashes = hashed(data, doc[:-1])
+        some, at, back = np.unique(hashes, return_index=True, return_inverse=True)
         get = self.slot.get
-        slots = np.fromiter([get(p, -1) for p in row], np.int64, len(row))
-        stop = np.cumsum(count)
-        start = stop - count
-        missing = np.flatnonzero(slots < 0)
-        if new := dict.fromkeys(p for k in missing.tolist() if (p := row[k]) is not None):
-            k = len(self.slot)
-            self.used = self.put(self.used, k, self.new(list(new)))
-            self.slot.update(zip(new, range(k, k + len(new))))
-            slots[missing] = [get(row[k], -1) for k in missing.tolist()]
-        k = len(self.slot)  # heads and the end stand behind what is kept
-        self.put(self.used, k, [*self.plain(heads), [end]])
-        slots[start], slots[stop - 1] = np.arange(k, k + len(heads)), k + len(heads)
-        size = self.size[slots]
-        upto = np.cumsum(size)
-        place = np.repeat(self.first[slots] - upto + size, size) + np.arange(int(upto[-1]) if len(upto) else 0)
-        return self.ids[place], np.add.reduceat(size, start) if len(start) else np.empty(0, np.int64)
+        found = np.fromiter((get(k, -1) for k in some.tolist()), np.int64, len(some))
+        if len(new := np.flatnonzero(found < 0)):
+            first = at[new]
+            last = np.append(begin, len(data))[first + 1]
+            after = np.frombuffer(data, np.uint8)[begin[first]] == 32
+            first, fresh = begin[first], some[new]
+            self.learn([data[a + 1 : z].decode() for a, z in zip(first[after].tolist(), last[after].tolist())], fresh[after].tolist())
+            heads = self.plain([data[a:z].decode() for a, z in zip(first[~after].tolist(), last[~after].tolist())])
+            self.slot.update(zip(fresh[~after].tolist(), self.add(*flat(heads))))
+            found[new] = [get(k) for k in some[new].tolist()]
+        ids, size = self.gathered(found[back])
+        pieces = np.concatenate([[0], np.cumsum(size)])
+        stop = pieces[np.searchsorted(begin, doc, "left")]
+        return np.insert(ids, stop[1:], end), np.diff(stop) + 1
+
+
+def hashed(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of texts that start at `starts` begin, and a hash of each. A piece begins at a space after a non-space, by no means after one of Unicode's spaces."""
+    b = np.frombuffer(data, np.uint8)
+    space = np.flatnonzero(b == 32)
+    one, two, three = (b[np.maximum(space - k, 0)] for k in (1, 2, 3))
+    plain = (one < 128) & (one > 32) | (one >= 128) & ~((two == 0xC2) & ((one == 0x85) | (one == 0xA0))) & ~((three >= 0xE1) & (three <= 0xE3) & ((two == 0x80) | (two == 0x81) | (two == 0x9A)))
+    begin = np.sort(np.concatenate([space[plain & (space > 0)], starts[starts < len(b)]]))
+    begin = begin[np.diff(begin, prepend=-1) > 0]
+    up, down = powers(len(b) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[b] * up[:-1], dtype=np.uint64)])
+    stop = np.append(begin[1:], len(b)).astype(np.int64)
+    return begin, mix((total[stop] - total[begin]) * down[begin] + (stop - begin).astype(np.uint64))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -225,17 +260,19 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, id_col: str =
 
     def run(batches):
         code = encoder(tokenizer)
+        gc.disable()  # nothing here makes cycles; the collector would walk the encoder's memory again and again
         shard, mine = TaskContext.get().partitionId(), uuid.uuid4().hex
         fs, top = pafs.FileSystem.from_uri(folder)
         fs.create_dir(top, recursive=True)
         kept, sizes, out = [], [], None
         for b in batches:
             for ids, texts in _batches(b.column(0), b.column(1)):
-                found, size = code.encode([x or "" for x in texts.to_pylist()], end)
+                found, size = code.encode([x or b"" for x in texts.cast(pa.binary()).to_pylist()], end)
                 out = out or fs.open_output_stream(f"{top}/.{mine}.bin")
                 out.write(found.astype("<u4" if code.wide else "<u2").tobytes())
                 kept.append(ids)
                 sizes.append(size)
+        gc.enable()
         if out is None:
             return
         out.close()
