@@ -226,7 +226,8 @@ k AS (SELECT article_id, list_filter(regexp_extract_all(lower(text_clean), '[\\p
 g AS (SELECT article_id, unnest(w) AS term FROM k UNION ALL SELECT article_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM k)
 SELECT term, count(*) AS count FROM g GROUP BY 1 HAVING count(DISTINCT article_id) >= 2 AND count(DISTINCT article_id) <= 0.9 * (SELECT count(*) FROM k) ORDER BY 2 DESC, 1 DESC LIMIT 20""")
 def _(spark, sf):
-    return op.keywords_high_circ_conversion(flagged(spark, sf))
+    # Three aggregates read these columns: they are made once.
+    return op.keywords_high_circ_conversion(cut(flagged(spark, sf).select("CONVERSION", "CIRCULATION_SIZE_NUM", "ARTICLE_TEXT_CLEAN")))
 
 
 def _mentions(spark: SparkSession, sf: str) -> DataFrame:
