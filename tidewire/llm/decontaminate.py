@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .shingles import slices
 
 #: Byte to byte: A-Z to lower case, what is not a word to a space.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -116,7 +117,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str =
     def scanner(items):
         def run(batches):
             found = _patterns(items, window)
-            for b in batches:
+            for b in (x for batch in batches for x in slices(batch)):
                 got = [scan_text(x or b"", found) for x in b.column(1).cast(pa.binary()).to_pylist()]
                 made = [pa.array([g[k] for g in got], t) for k, t in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([b.column(0), *made], ["id", "n_words", "n_hit", "items", "runs", "spans"])
@@ -169,7 +170,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str =
 
     def run(batches):
         found = _patterns(items, window)
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch)):
             hits = [scan_text(x or b"", found)[:2] for x in b.column(at).cast(pa.binary()).to_pylist()]
             yield b.filter(pa.array([not (hit > 0 and 20 * hit >= n) for n, hit in hits], pa.bool_()))
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import words
+from .shingles import slices
 
 #: Fixed values of the contract: phrase and label.
 PHRASES = {
@@ -192,7 +193,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     def run(batches):
         scanner = Scanner(templates, phrases)
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch)):
             got = [scanner.scan(x or b"") for x in b.column(1).cast(pa.binary()).to_pylist()]
             names = [x.split()[0] for x in RESULT.split(", ")]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[n] for g in got], t) for n, t in zip(names, KINDS))], ["id", *names])
