@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .components import components, labels
-from .shingles import digests, mix, shingles
+from .shingles import digests, shingles, slices
 
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Elements a task holds before it deals them out.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Classes up to this number are broadcast to find their documents again, 24 bytes each; more are joined by shuffle.
 BROADCAST_CLASSES = 400_000
 #: Sizes at which sets may be light; as many pairs between components for each posting are scanned all at once; hub rounds at most before that; words of a bitmap.
@@ -98,7 +98,7 @@ def _dealt(rows: DataFrame, parts: int, kind: str) -> DataFrame:
 
     def cut(batches):
         kept, held, row = [], 0, 0
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch)):
             texts = b.column(1).cast(pa.binary()).to_pylist()
             for a, z, size, h in shingles(texts):
                 d1, d2 = digests(size, h)
@@ -145,7 +145,7 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     picked = rows.join(few, F.col("id").eqNullSafe(F.col("id_")), "inner").select("node", "d2", "text")
 
     def run(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch)):
             texts = b.column(2).cast(pa.binary()).to_pylist()
             for a, z, size, h in shingles(texts):
                 d1, d2 = digests(size, h)
@@ -284,12 +284,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    both = shared.keep(_dealt(rows, parts, kind), "dealt")
+    with shared.small_batches(spark):
+        both = shared.keep(_dealt(rows, parts, kind), "dealt")
     members = both.where("d2 IS NOT NULL")
     equal = members.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"))
     counts = both.where("d2 IS NULL").groupBy("d1").agg(F.sum("n").alias("met"))
     wanted = shared.keep(equal.join(counts, "d1").where(F.col("met") >= least_shared(F.col("n"))).select("id", "d1", "d2", "n"), "wanted")
-    sets = shared.keep(_ordered(_sets(rows, wanted)), "sets")
+    with shared.small_batches(spark):
+        sets = shared.keep(_ordered(_sets(rows, wanted)), "sets")
     sizes = {r["n"]: r["c"] for r in sets.where(F.col("n") <= 2 * max(LIGHT)).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}  # sizes, of bounded number
     limit = boundary(sizes)
     links = _light(sets, limit).unionByName(_heavy(sets, limit))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -23,6 +24,18 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """What runs inside sends texts to Python in batches of so many rows, which bounds memory beside the heap; then the setting is as before."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def keep(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """df, written once to the shared folder and read back: a lost executor costs no recomputation of what came before."""
     path = folder(df.sparkSession, name)
