@@ -70,19 +70,20 @@ def _packed(kept: list, parts: int):
             yield b, struct.pack("<Q", len(first)) + d[own[first]].astype("<i8").tobytes() + count.tobytes() + h[z - n : z].tobytes()
 
 
-def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Elements; digests; numbers of elements of each."""
     (n,) = struct.unpack_from("<Q", block)
-    d, count = np.frombuffer(block, "<i8", n, 8), np.frombuffer(block, "<u4", n, 8 + 8 * n)
-    return np.frombuffer(block, "<u4", -1, 8 + 12 * n), np.repeat(d, count)
+    return np.frombuffer(block, "<u4", -1, 8 + 12 * n), np.frombuffer(block, "<i8", n, 8), np.frombuffer(block, "<u4", n, 8 + 8 * n)
 
 
-def _shared_elements(key: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _shared_elements(key: np.ndarray, sets: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Digests, and how many of each one's elements here occur with another digest too."""
     order = np.argsort(key)
-    key, d = key[order], d[order]
+    key = key[order]
     same = key[1:] == key[:-1]
     several = np.append(same, False) | np.insert(same, 0, False)
-    key, d = key[several], d[several]
+    # Whose an element is, is looked up for those that occur twice alone.
+    key, d = key[several], sets[np.searchsorted(np.cumsum(count), order[several], "right")]
     order = np.lexsort((d, key))
     key, d = key[order], d[order]
     new = np.ones(len(key), bool)
@@ -128,8 +129,7 @@ def _dealt(rows: DataFrame, parts: int, kind: str) -> DataFrame:
                 blocks.setdefault(b.column("bucket")[int(i)].as_py(), []).append(block[int(i)].as_py())
             kind = b.column("id").type
         for some in blocks.values():
-            key, d = (np.concatenate(x) for x in zip(*map(_unpacked, some)))
-            d, n = _shared_elements(key, d)
+            d, n = _shared_elements(*(np.concatenate(x) for x in zip(*map(_unpacked, some))))
             if len(d):
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(d), kind), pa.array(n, pa.int64()), pa.array(d), pa.nulls(len(d), pa.int64())], ["id", "n", "d1", "d2"])
 
@@ -283,7 +283,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Half as many buckets as shuffle partitions: a class has a row for each bucket that holds a shared element of it.
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     with shared.small_batches(spark):
         both = shared.keep(_dealt(rows, parts, kind), "dealt")
     members = both.where("d2 IS NOT NULL")
