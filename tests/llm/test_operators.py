@@ -99,6 +99,38 @@ def test_line_signature_recall(spark):
     assert want > 100 and sum(got.values()) >= 0.98 * want
 
 
+def similar_lines(a, b):
+    """By plain shingles of every character."""
+    x, y = ({t[i : i + 12] for i in range(max(1, len(t) - 11))} for t in (a.lower(), b.lower()))
+    return 10 * len(x & y) >= 8 * len(x | y)
+
+
+def lines_gone(spark, pairs):
+    """Of pairs of lines, each a document, how many lose the second."""
+    df = frame(spark, [(2 * i + k, x, "s") for i, p in enumerate(pairs) for k, x in enumerate(p)], clash=False)
+    return {r["doc_id"] // 2 for r in line_dedup.dedup_lines(df).collect() if r["n_dropped"]}
+
+
+def test_short_lines_with_a_changed_word(spark):
+    rng = random.Random(4)
+    pairs = [(t := prose(rng, n), changed(rng, t, 1)) for n in range(3, 60) for _ in range(6)]
+    want = {i for i, (a, b) in enumerate(pairs) if similar_lines(a, b)}
+    got = lines_gone(spark, pairs)
+    assert len([i for i in want if len(pairs[i][0].split()) < 40]) > 60 and got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_line_dedup_by_every_character(spark, docs):
+    rows, line, _ = brute_lines(ROWS)
+    left = {line(x): {line(x)} for _, t in rows for x in t.split("\n") if line(x)}
+    for a, b in itertools.combinations(left, 2):
+        if left[a] is not left[b] and similar_lines(a, b):
+            left[a] |= left[b]
+            left.update(dict.fromkeys(left[b], left[a]))
+    got = [r["text"] for r in line_dedup.dedup_lines(docs).dropDuplicates(["doc_id", "text"]).collect()]
+    kept = [line(x) for t in got if t for x in t.split("\n") if line(x)]
+    assert len(kept) == len({id(left[x]) for x in kept}) == len({id(x) for x in left.values()})
+
+
 # 2 decontamination
 
 
