@@ -309,6 +309,17 @@ def test_license_scan(spark):
     assert licenses.scan(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_license_spans_of_every_place():
+    rng = random.Random(8)
+    mit, bsd = licenses.TEMPLATES["mit"], licenses.TEMPLATES["bsd"]
+    parts = [prose(rng, 60), mit, prose(rng, 60), bsd, prose(rng, 60), mit, mit, prose(rng, 60)]
+    spans = licenses.Scanner(licenses.TEMPLATES, licenses.PHRASES).scan(" ".join(parts).encode())["spans"]
+    begin = [sum(len(plain_words(p)) for p in parts[:k]) for k in range(len(parts))]
+    for label, places in (("mit", (1, 5, 6)), ("bsd", (3,))):
+        want = [(begin[k], begin[k] + len(plain_words(parts[k]))) for k in places]
+        assert sorted((x["start"], x["end"]) for x in spans if x["label"] == label and x["cover"] == 1) == want
+
+
 def test_suffix_automaton():
     rng = random.Random(1)
     seqs = [[rng.randrange(3) for _ in range(rng.randrange(1, 12))] for _ in range(6)]

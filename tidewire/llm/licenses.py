@@ -146,7 +146,7 @@ class Scanner:
         return places, long
 
     def chains(self, long: list[tuple[int, int, int]]) -> list[dict]:
-        """Best chain of each template and place: matches in order in both, no further apart than MAX_GAP words."""
+        """Chains of each template, best first and without overlap: matches in order in both, no further apart than MAX_GAP words."""
         by: dict[int, list[tuple[int, int, int]]] = {}
         for a, b, s in long:
             for k, end in self.auto.ends[s]:
@@ -154,23 +154,30 @@ class Scanner:
                     by.setdefault(k, []).append((a, b, end + 1))
         out = []
         for k, found in by.items():
-            best: list[tuple[int, int]] = []  # words covered, first match
-            low = 0
-            for i, (a, b, at) in enumerate(found):
-                top, first = b - a, i
-                while found[low][1] < a - MAX_GAP - self.sizes[k]:
-                    low += 1
-                for j in range(low, i):
-                    pa_, pb, pat = found[j]
-                    own = min(b - max(a, pb), at - max(at - (b - a), pat))
-                    if own > 0 and pa_ < a and a - pb <= MAX_GAP and at - (b - a) - pat <= MAX_GAP and best[j][0] + own > top:
-                        top, first = best[j][0] + own, best[j][1]
-                best.append((top, first))
-            last = max(range(len(found)), key=lambda i: best[i][0])
-            cover = min(1.0, best[last][0] / self.sizes[k])
-            out.append({"label": self.labels[k], "start": found[best[last][1]][0], "end": found[last][1], "cover": cover})
+            while found:
+                cover, start, end = self._best(found, self.sizes[k])
+                out.append({"label": self.labels[k], "start": start, "end": end, "cover": min(1.0, cover / self.sizes[k])})
+                found = [x for x in found if x[1] <= start or x[0] >= end]
         return sorted(out, key=lambda x: (-x["cover"], x["start"], x["label"]))
 
+    @staticmethod
+    def _best(found: list[tuple[int, int, int]], size: int) -> tuple[int, int, int]:
+        """Words covered, start and end of the best chain of a template of that size."""
+        best: list[tuple[int, int]] = []  # words covered, first match
+        low = 0
+        for i, (a, b, at) in enumerate(found):
+            top, first = b - a, i
+            while found[low][1] < a - MAX_GAP - size:
+                low += 1
+            for j in range(low, i):
+                pa_, pb, pat = found[j]
+                own = min(b - max(a, pb), at - max(at - (b - a), pat))
+                if own > 0 and pa_ < a and a - pb <= MAX_GAP and at - (b - a) - pat <= MAX_GAP and best[j][0] + own > top:
+                    top, first = best[j][0] + own, best[j][1]
+            best.append((top, first))
+        last = max(range(len(found)), key=lambda i: best[i][0])
+        return best[last][0], found[best[last][1]][0], found[last][1]
+
     def scan(self, text: bytes) -> dict:
         w = words(text)
         ids = np.fromiter(map(self.number.get, w, repeat(-1)), np.int64, len(w))
