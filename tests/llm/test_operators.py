@@ -391,6 +391,14 @@ def test_host_verdicts(spark):
     assert 0 < got[0]["host_rate"] < 0.5 and quality.MAX_RATE < got[100]["host_rate"] < 56 / 60
 
 
+def test_tables_of_symbols_are_rejected(spark):
+    rng = random.Random(12)
+    table = [(i, " | ".join(prose(rng, 1) for _ in range(80)), "s") for i in range(5)]
+    clean = [(10 + i, prose(rng, 95) + " 5% of #1 & *more* <br>", "s") for i in range(20)]
+    got = {r["doc_id"]: r["kept"] for r in quality.verdicts(frame(spark, table + clean, clash=False)).collect()}
+    assert got == {i: i >= 10 for i, _, _ in table + clean}
+
+
 # 8 Jaccard join
 
 

@@ -22,7 +22,7 @@ SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: Rules of our own: most symbols for each 100 words, most repeated lines for each 100 words, bounds of the mean word length.
-MAX_SYMBOLS, MAX_DUP_LINES, WORD_LENGTH = 120, 20, (2, 40)
+MAX_SYMBOLS, MAX_DUP_LINES, WORD_LENGTH = 20, 20, (2, 40)
 #: A host is rejected when its shrunk failure rate is over this.
 MAX_RATE = 0.7
 #: Hosts up to this number are broadcast; more are joined by a salted shuffle.
