@@ -46,3 +46,14 @@ def test_nothing_else_needs_llm():
     for path in glob.glob(os.path.join(os.path.dirname(entry.__file__), "tidewire", "**", "*.py"), recursive=True):
         if f"{os.sep}llm{os.sep}" not in path:
             assert "llm" not in open(path).read(), path
+
+
+def test_network_view_of_all_orders(spark, con):
+    pairs = con.execute("""WITH m AS (SELECT DISTINCT l_orderkey AS d, CAST(l_suppkey AS VARCHAR) AS e FROM lineitem)
+    SELECT x.e, y.e, count(*) FROM m x JOIN m y ON x.d = y.d AND x.e < y.e GROUP BY 1, 2 HAVING count(*) >= 2""").fetchall()
+    assert len({x for p in pairs for x in p[:2]}) <= 40  # all are shown
+    weights = sorted(n for _, _, n in pairs)
+    bar = (weights[(len(weights) - 1) // 2] + weights[len(weights) // 2]) / 2
+    kept = {p for p in pairs if p[2] >= bar}
+    assert {(r["src"], r["dst"], r["weight"]) for r in entry.queries()["network_view_edges"](spark, SF).collect()} == kept
+    assert {r["node"] for r in entry.queries()["network_view"](spark, SF).collect()} == {x for p in kept for x in p[:2]}
