@@ -57,3 +57,16 @@ def test_network_view_of_all_orders(spark, con):
     kept = {p for p in pairs if p[2] >= bar}
     assert {(r["src"], r["dst"], r["weight"]) for r in entry.queries()["network_view_edges"](spark, SF).collect()} == kept
     assert {r["node"] for r in entry.queries()["network_view"](spark, SF).collect()} == {x for p in kept for x in p[:2]}
+
+
+def test_text_network_of_whole_texts(spark, tmp_path):
+    for f in glob.glob(f"{SF}/*.parquet"):
+        os.symlink(f, tmp_path / os.path.basename(f))
+    os.remove(tmp_path / "documents.parquet")
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    far = "concat(repeat('word ', 500), 'Ann Lee met Bob Ray')"
+    more = spark.range(2500).selectExpr("id + 1000000 AS doc_id", f"CASE WHEN id >= 2498 THEN {far} ELSE 'word' END AS text", "'en' AS lang", "'src1' AS source", "4 AS n_chars")
+    more = more.select(*[more[c].cast(given.schema[c].dataType).alias(c) for c in given.columns])
+    given.unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["node"]: r["degree"] for r in entry.queries()["text_network"](spark, str(tmp_path)).collect()}
+    assert found["Ann Lee"] >= 1 and found["Bob Ray"] >= 1

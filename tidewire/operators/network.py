@@ -98,9 +98,11 @@ def network_summary(edges: DataFrame) -> DataFrame:
     return degrees(edges).join(betweenness(edges), "node").select("node", "degree", "betweenness").orderBy(F.desc("betweenness"), F.desc("degree"), "node")
 
 
-def eda_network(df: DataFrame, sample_n: int = 2000, min_cooccurrences: int = 2, extractor: Callable[[Column], Column] = capitalised_spans, text_col: str = "ARTICLE_TEXT_CLEAN", order: str = "_ord", chars: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """Edges and summary of the first sample_n articles, by what the extractor finds in their first characters."""
-    some = df.orderBy(order).limit(sample_n).select(F.col(order).alias("doc_id"), extractor(F.substring(F.col(text_col), 1, chars)).alias("entities"))
+def eda_network(df: DataFrame, sample_n: int | None = 2000, min_cooccurrences: int = 2, extractor: Callable[[Column], Column] = capitalised_spans, text_col: str = "ARTICLE_TEXT_CLEAN", order: str = "_ord", chars: int | None = 2000) -> tuple[DataFrame, DataFrame]:
+    """Edges and summary of the first sample_n articles, by what the extractor finds in their first characters; None for all."""
+    some = df if sample_n is None else df.orderBy(order).limit(sample_n)
+    text = F.col(text_col) if chars is None else F.substring(F.col(text_col), 1, chars)
+    some = some.select(F.col(order).alias("doc_id"), extractor(text).alias("entities"))
     edges = cut(cooccurrence_edges(some, min_cooccurrences))
     return edges, network_summary(edges)
 

@@ -358,7 +358,7 @@ def _(spark, sf):
 
 @query("text_network")
 def _(spark, sf):
-    return op.eda_network(articles(spark, sf), min_cooccurrences=2)[1]
+    return op.eda_network(articles(spark, sf), sample_n=None, min_cooccurrences=2, chars=None)[1]
 
 
 @query("first_mover", """SELECT user_id AS narrative, first(event_type ORDER BY ts, event_id) AS originator, min(ts) AS first_ts, count(DISTINCT event_type) - 1 AS amplifiers, count(*) AS mentions
