@@ -53,10 +53,7 @@ def brute_lines(rows):
     line = lambda x: x.strip(" \t\x0b\x0c\r").lower()
 
     def shingles(x):
-        if re.search(f"[^ ]{{{2 * line_dedup.SHINGLE + 1}}}", x):
-            x = re.sub(f"([^ ]{{{line_dedup.SHINGLE}}})(?=[^ ])", r"\1 ", x)
-        w = x.split(" ")
-        return {" ".join(w[i : i + 5])[: line_dedup.SHINGLE] for i in range(len(w)) if w[i]}
+        return {x[i : i + line_dedup.SHINGLE] for i in range(max(1, len(x) - line_dedup.SHINGLE + 1))}
 
     found = {line(x): shingles(line(x)) for _, t in rows for x in t.split("\n") if line(x)}
     root = {x: x for x in found}

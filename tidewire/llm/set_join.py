@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import struct
 from hashlib import blake2b
-from itertools import combinations
+from itertools import combinations, islice
 from math import comb
 
 import numpy as np
@@ -36,8 +36,10 @@ from .shingles import digests, shingles, slices
 
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Elements a task holds before it deals them out.
-HELD = 1_000_000
+#: Elements a task holds before it deals them out; bytes of text for a bucket of elements, which a task holds as a whole.
+HELD, BUCKET_BYTES = 1_000_000, 40_000_000
+#: Rows of a batch where sets go to Python, and subsets that a task makes before it hands them on.
+SETS_AT_ONCE, SUBSETS_AT_ONCE = 256, 50_000
 #: Classes up to this number are broadcast to find their documents again, 24 bytes each; more are joined by shuffle.
 BROADCAST_CLASSES = 400_000
 #: Sizes at which sets may be light; as many pairs between components for each posting are scanned all at once; hub rounds at most before that; words of a bitmap.
@@ -184,16 +186,16 @@ def _light(sets: DataFrame, limit: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = {"key": [], "small": [], "n": [], "node": []}
-            for node, n, elements in zip(*(c.to_pylist() for c in b.columns)):
-                for m in range(-(-PERCENT * n // 100), min(limit, 100 * n // PERCENT) + 1):
-                    a, z, k = min(n, m), max(n, m), overlap(n, m)
-                    for some in combinations(sorted(elements), k):
-                        out["key"].append(blake2b(struct.pack(f"<BB{k}q", a, z, *some), digest_size=16).digest())
-                        out["small"].append(a)
-                        out["n"].append(n)
-                        out["node"].append(node)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("key", pa.binary()), ("small", pa.int64()), ("n", pa.int64()), ("node", pa.int64())]))
+            subsets = made(b)
+            while some := list(islice(subsets, SUBSETS_AT_ONCE)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.binary(), pa.int64(), pa.int64(), pa.int64()))], ["key", "small", "n", "node"])
+
+    def made(b):
+        for node, n, elements in zip(*(c.to_pylist() for c in b.columns)):
+            for m in range(-(-PERCENT * n // 100), min(limit, 100 * n // PERCENT) + 1):
+                a, z, k = min(n, m), max(n, m), overlap(n, m)
+                for some in combinations(sorted(elements), k):
+                    yield blake2b(struct.pack(f"<BB{k}q", a, z, *some), digest_size=16).digest(), a, n, node
 
     keys = sets.where(F.col("n") <= limit).select("node", "n", "elements").mapInArrow(run, "key binary, small long, n long, node long")
     hubs = keys.groupBy("key").agg(F.min(F.struct("n", "node")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -260,7 +262,10 @@ def _heavy(sets: DataFrame, limit: int) -> DataFrame:
         may = (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * most >= PERCENT * (n + m))
         if last:
             # Whatever is still apart: every pair of a list between two components, if places and bitmaps leave it a chance.
-            marked = lists.join(_bitmaps(sets.join(lists.select("node").distinct(), "node", "left_semi")), "node")
+            # Sets may be long: a batch of many would fill the memory beside the heap.
+            with shared.small_batches(sets.sparkSession, SETS_AT_ONCE):
+                maps = shared.keep(_bitmaps(sets.join(lists.select("node").distinct(), "node", "left_semi")), "maps")
+            marked = lists.join(maps, "node")
             x, y = marked.alias("x"), marked.alias("y")
             differ = sum((F.bit_count(F.col(f"x.b{k}").bitwiseXOR(F.col(f"y.b{k}"))) for k in range(BITMAP)), F.lit(0))
             alike = (100 + PERCENT) * (F.col("x.left") + F.col("y.left") - differ) >= 2 * PERCENT * (n + m)
@@ -283,8 +288,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    # Half as many buckets as shuffle partitions: a class has a row for each bucket that holds a shared element of it.
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    # A class has a row for each bucket that holds a shared element of it: half as many as shuffle partitions, but as many as the text asks for.
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, -(-size // BUCKET_BYTES))
     with shared.small_batches(spark):
         both = shared.keep(_dealt(rows, parts, kind), "dealt")
     members = both.where("d2 IS NOT NULL")
