@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewire import functions as fn
 from tidewire import operators as op
 from tidewire.sources import CORE, from_tables, read_articles, write_tables
 from tidewire.streaming import dedup_stream, session_volumes
@@ -187,3 +188,42 @@ def test_streams(spark, tmp_path):
         df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("d").count() == 4
     assert [r["count"] for r in spark.table("s").where("user_id = 7").orderBy("start").collect()] == [3, 1]
+
+
+def test_bar_data_of_many_rows(spark):
+    df = spark.range(1500).selectExpr("id AS x", "id * 2 AS y")
+    assert len(op.bar_data(df, "x", "y")[0]) == 1500 and len(op.bar_data(df, "x", "y", limit=7)[0]) == 7
+    with pytest.raises(ValueError):
+        op.bar_data(df, "x", "y", max_rows=1000)
+
+
+def test_betweenness_of_a_random_graph(spark):
+    rng = random.Random(5)
+    names = [f"n{i}" for i in range(14)]
+    pairs = [p for p in itertools.combinations(names, 2) if rng.random() < 0.22]
+    near = {n: {b for p in pairs for a, b in (p, p[::-1]) if a == n} for n in names}
+    nodes = [n for n in names if near[n]]
+
+    def shortest(s, t):
+        found, paths = [], [[s]]
+        while paths and not found:
+            found = [p for p in paths if p[-1] == t]
+            paths = [[*p, n] for p in paths for n in near[p[-1]] if n not in p]
+        return found
+
+    want = dict.fromkeys(nodes, 0.0)
+    for s, t in itertools.permutations(nodes, 2):
+        for p in (every := shortest(s, t)):
+            for n in p[1:-1]:
+                want[n] += 1 / len(every) / ((len(nodes) - 1) * (len(nodes) - 2))
+    got = {r["node"]: r["betweenness"] for r in op.network_summary(spark.createDataFrame([(*p, 2) for p in pairs], "src string, dst string, weight long")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-9 for n in want)
+
+
+def test_long_unbroken_text_is_cleaned_in_one_go(spark):
+    import time
+
+    began = time.time()
+    texts = ["x" * 200_000, "a@b.c " + "y" * 200_000 + "@z end", "#a.b@c ok", "@name.x@y @you #tag-on http://q go"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(fn.clean_text(F.col("t"))).collect()]
+    assert got == ["x" * 200_000, "end", "ok", "-on go"] and time.time() - began < 30

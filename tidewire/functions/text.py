@@ -7,8 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What cleaning turns into a space; letters, digits and underscore are Unicode's.
-NOISE = r"http[^\s]+|[^\s]+@[^\s]+|#[\p{L}\p{N}_]+|@[\p{L}\p{N}_]+"
+#: What cleaning turns into a space. `[\\p{L}\\p{N}_]` is a word character of Unicode; Java's own and RE2's are ASCII's.
+NOISE = r"http\S+|\S+@\S+|#[\p{L}\p{N}_]+|@[\p{L}\p{N}_]+"
+#: The same matches: an address starts where its word does, so a long word is searched for one once, not from each of its characters.
+_NOISE_JAVA = NOISE.replace(r"\S+@", r"(?<!\S)\S+@")
 #: White space of Unicode, for Java's regular expressions.
 SPACE = r"[\s\x1c-\x1f\x85   -     　]"
 #: Code points of pictographs, regional letters, and the joiners and selectors that belong to them.
@@ -51,7 +53,7 @@ def strip_emoji(c: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """Null is empty; repairs, drops emoji, turns links, addresses, tags and names into a space, then collapses white space."""
     fixed = strip_emoji(fix_text(F.coalesce(c.cast("string"), F.lit(""))))
-    return strip(F.regexp_replace(F.regexp_replace(fixed, NOISE, " "), f"{SPACE}+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(fixed, _NOISE_JAVA, " "), f"{SPACE}+", " "))
 
 
 def word_count(c: Column) -> Column:

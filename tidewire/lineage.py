@@ -11,5 +11,8 @@ def cut(df: DataFrame) -> DataFrame:
     """df, checkpointed at once. The folder is the cluster's spark.checkpoint.dir; a local one only where that is unset, as in tests."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/tidewire-checkpoints")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the cluster shares")
+        sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/tidewire-checkpoints")
     return df.checkpoint(eager=True)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,56 +41,55 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def _dependencies(adjacent: dict[str, list[str]], source: str) -> dict[str, float]:
-    """Brandes: what each node carries of the shortest paths from one source."""
-    order, paths, before, depth = [], {source: 1.0}, {}, {source: 0}
-    queue = deque([source])
-    while queue:
-        v = queue.popleft()
-        order.append(v)
-        for w in adjacent[v]:
-            if w not in depth:
-                depth[w] = depth[v] + 1
-                paths[w], before[w] = 0.0, []
-                queue.append(w)
-            if depth[w] == depth[v] + 1:
-                paths[w] += paths[v]
-                before[w].append(v)
-    carried = dict.fromkeys(order, 0.0)
-    for w in reversed(order[1:]):
-        for v in before[w]:
-            carried[v] += paths[v] / paths[w] * (1 + carried[w])
-    del carried[source]
+def _dependencies(first: np.ndarray, to: np.ndarray, source: int) -> np.ndarray:
+    """Brandes, a level at a time: what each node carries of the shortest paths from one source. Node v's neighbours are to[first[v]:first[v + 1]]."""
+    n = len(first) - 1
+    far, paths, carried = np.full(n, -1), np.zeros(n), np.zeros(n)
+    far[source], paths[source] = 0, 1.0
+    level, steps = np.array([source]), []
+    while len(level):
+        size = first[level + 1] - first[level]
+        u = np.repeat(level, size)
+        w = to[np.arange(len(u)) + np.repeat(first[level] - np.cumsum(size) + size, size)]
+        new = far[w] < 0
+        u, w = u[new], w[new]
+        paths += np.bincount(w, paths[u], n)
+        level = np.unique(w)
+        far[level] = len(steps) + 1
+        steps.append((u, w))
+    for u, w in reversed(steps):
+        carried += np.bincount(u, paths[u] / paths[w] * (1 + carried[w]), n)
+    carried[source] = 0.0
     return carried
 
 
 def betweenness(edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     """node, betweenness: unweighted, ends left out, divided by (n - 1)(n - 2); 0 where n <= 2.
 
-    Sources are dealt over tasks, each with the edge list, whose size is checked; partial sums meet by node."""
+    Sources are dealt over tasks, each with the edge list as numbers, whose size is checked; partial sums meet by node."""
     spark = edges.sparkSession
     rows = edges.select("src", "dst").orderBy("src", "dst").limit(max_edges + 1).collect()
     if len(rows) > max_edges:
         raise ValueError(f"betweenness is for graphs of up to {max_edges} edges")
-    adjacent: dict[str, list[str]] = {}
-    for s, d in rows:
-        adjacent.setdefault(s, []).append(d)
-        adjacent.setdefault(d, []).append(s)
-    n = len(adjacent)
-    told = spark.sparkContext.broadcast(adjacent)
+    names, ends = np.unique(np.array([[r["src"], r["dst"]] for r in rows], object).reshape(-1, 2).astype(str), return_inverse=True)
+    ends, n = ends.reshape(-1, 2), len(names)
+    a, z = np.concatenate([ends, ends[:, ::-1]]).T
+    first = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n))])
+    told = spark.sparkContext.broadcast((first, z[np.argsort(a, kind="stable")]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(n)
         for b in batches:
-            sums: dict[str, float] = {}
-            for source in b["node"]:
-                for node, x in _dependencies(told.value, source).items():
-                    sums[node] = sums.get(node, 0.0) + x
-            yield pd.DataFrame({"node": [*sums], "x": [*sums.values()]}, columns=["node", "x"])
+            for source in b["id"]:
+                sums += _dependencies(*told.value, source)
+        some = np.flatnonzero(sums)
+        yield pd.DataFrame({"id": some, "x": sums[some]})
 
-    nodes = degrees(edges).select("node")
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    parts = nodes.repartition(F.col("node")).mapInPandas(run, "node string, x double").groupBy("node").agg((F.sum("x") * scale).alias("betweenness"))
-    return nodes.join(parts, "node", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+    tasks = max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = spark.range(0, n, 1, tasks).mapInPandas(run, "id long, x double").groupBy("id").agg((F.sum("x") * scale).alias("betweenness"))
+    nodes = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "node": names.astype(object)}), "id long, node string")
+    return nodes.join(parts, "id", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
 def network_summary(edges: DataFrame) -> DataFrame:

@@ -77,11 +77,13 @@ def eda_tables(df: DataFrame, conv_col: str = "CONVERSION") -> dict[str, DataFra
     return out | ({"conversion_summary": conversion_summary(df, conv_col)} if conv_col in df.columns else {})
 
 
-def bar_data(df: DataFrame | dict | None, x: str, y: str, limit: int | None = None, horizontal: bool = False, spark=None):
-    """What a bar or line figure shows, in drawing order, on the driver: x and y lists; None for no rows. limit bounds what is collected."""
+def bar_data(df: DataFrame | dict | None, x: str, y: str, limit: int | None = None, horizontal: bool = False, spark=None, max_rows: int = 1_000_000):
+    """What a bar or line figure shows, in drawing order, on the driver: x and y lists; None for no rows. All rows, or the first `limit`; more than max_rows are refused."""
     if isinstance(df, dict):
         df = spark.createDataFrame([*zip(*df.values())], [*df])
-    rows = df.limit(limit or 1000).select(F.col(f"`{x}`"), F.col(f"`{y}`")).collect() if df is not None else []
+    rows = df.limit(max_rows + 1 if limit is None else limit).select(F.col(f"`{x}`"), F.col(f"`{y}`")).collect() if df is not None else []
+    if len(rows) > max_rows:
+        raise ValueError(f"a figure of over {max_rows} points")
     if not rows:
         return None
     rows = rows[::-1] if horizontal else rows

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from .. import operators as op
+from ..functions.text import NOISE
 from ..lineage import cut
 from ..operators.keywords import STOP_WORDS
 from ..operators.preprocess import SENTIMENT_COLUMNS
@@ -24,8 +25,8 @@ SQL: dict[str, str] = {}
 
 #: What counts as a conversion in the sample queries.
 KEYWORDS, TAGS, PUBLICATIONS, QUANTILE = ["tionthe", "EREN"], ["Ring"], ["SRC3", "src7"], 0.5
-#: Orders whose suppliers make the sample graph, as the SQL has it.
-GRAPH_ORDERS = 500
+#: Orders that two suppliers share, at least, to be linked in `network_summary`; parts need two.
+SHARED_ORDERS = 24
 
 # Parts of the SQL side: the articles, and their cleaned text.
 _ARTICLES = """
@@ -48,7 +49,7 @@ raw AS (
 ), a AS (
   SELECT *, CASE WHEN coalesce(ph_num, wh_num) > 0.05 THEN 'Positive' WHEN coalesce(ph_num, wh_num) < -0.05 THEN 'Negative' ELSE 'Neutral' END AS bin FROM art
 )
-""".replace("{noise}", r"http[^\s]+|[^\s]+@[^\s]+|#[\p{L}\p{N}_]+|@[\p{L}\p{N}_]+").replace("\\\\s", "\\s")
+""".replace("{noise}", NOISE).replace("\\\\s", "\\s")
 _FLAGGED = f"""
 , q AS (SELECT quantile_cont(circ, {QUANTILE}) AS q FROM a), c AS (
   SELECT a.*, CASE WHEN (contains(lower(headline_clean), 'tionthe') OR contains(lower(text_clean), 'tionthe') OR contains(lower(headline_clean), 'eren') OR contains(lower(text_clean), 'eren')
@@ -126,6 +127,13 @@ def _(spark, sf):
     return d.withColumn("chars", F.length("text_clean"))
 
 
+@query("repair_text", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'café ' || doc_id WHEN 1 THEN 'a & b "' || doc_id || '"' WHEN 2 THEN 'it''s ' || doc_id ELSE 'ok ' || doc_id END AS text FROM documents""")
+def _(spark, sf):
+    n = F.col("doc_id").cast("string")
+    said = F.array(F.concat(F.lit("caf\u00c3\u00a9 "), n), F.concat(F.lit("a &amp; b \u201c"), n, F.lit("\u201d")), F.concat(F.lit("it\u2019s "), n, F.lit("\U0001f600")), F.concat(F.lit("ok \u2600\ufe0f"), n))
+    return _read(spark, sf, "documents").select("doc_id", fn.clean_text(F.get(said, (F.col("doc_id") % 4).cast("int"))).alias("text"))
+
+
 @query("parse_date", "SELECT event_id, CAST(ts AS DATE) AS day, CAST(date_trunc('week', ts) AS DATE) AS week, CAST(date_trunc('month', ts) AS DATE) AS month FROM events")
 def _(spark, sf):
     formats = ["yyyy-MM-dd", "M/d/yyyy", "d MMMM yyyy", "MMM d, yyyy h:mm a", "yyyy-MM-dd'T'HH:mm:ss"]
@@ -215,6 +223,20 @@ def _(spark, sf):
     return flagged(spark, sf).select(F.col("ARTICLE_ID").alias("article_id"), F.col("CONVERSION").alias("conversion"))
 
 
+#: One rule each, and the quantile beside one: what it asks of the operator, and the same in SQL. Keywords hold characters that are special in patterns.
+_RULES = {
+    "conversion_by_text": ({"text_keywords": ["and.", "(c)", "a|b"]}, "contains(lower(headline_clean || chr(0) || text_clean), 'and.') OR contains(lower(headline_clean || chr(0) || text_clean), '(c)') OR contains(lower(headline_clean || chr(0) || text_clean), 'a|b')"),
+    "conversion_by_tag": ({"tag_includes": TAGS}, "list_contains(list_transform(coalesce(tags_list, []), lambda x: lower(x)), 'ring')"),
+    "conversion_by_publication": ({"publication_includes": PUBLICATIONS}, "coalesce(lower(publication) IN ('src3', 'src7'), false)"),
+    "conversion_by_circulation": ({"publication_includes": PUBLICATIONS, "min_circulation_quantile": 0.9}, "coalesce(lower(publication) IN ('src3', 'src7') AND circ >= (SELECT quantile_cont(circ, 0.9) FROM a), false)"),
+}
+for _name, (_rule, _said) in _RULES.items():
+
+    @query(_name, f"WITH {_ARTICLES} SELECT article_id, CASE WHEN {_said} THEN 1 ELSE 0 END AS conversion FROM a")
+    def _(spark, sf, rule=_rule):
+        return op.derive_conversion_flag(articles(spark, sf), **rule).select(F.col("ARTICLE_ID").alias("article_id"), F.col("CONVERSION").alias("conversion"))
+
+
 @query("conversion_summary", f"""WITH {_ARTICLES} {_FLAGGED} SELECT 'total_articles' AS metric, CAST(count(*) AS DOUBLE) AS value FROM c UNION ALL SELECT 'conversion_articles', CAST(sum(conversion) AS DOUBLE) FROM c
 UNION ALL SELECT 'conversion_rate', CAST(sum(conversion) AS DOUBLE) / count(*) FROM c""")
 def _(spark, sf):
@@ -285,32 +307,35 @@ def _(spark, sf):
     return op.run_attribution_model(sample_paths(spark, sf), order=2)
 
 
-def _order_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
+def together(spark: SparkSession, sf: str, key: str, least: int) -> DataFrame:
+    """Edges between the parts or suppliers that share so many orders."""
+    lines = _read(spark, sf, "lineitem").select("l_orderkey", key)
+    docs = lines.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_set(F.col(key).cast("string")).alias("entities"))
+    return op.cooccurrence_edges(docs, least)
 
 
-def sample_edges(spark: SparkSession, sf: str) -> DataFrame:
-    orders = _read(spark, sf, "orders").select("o_orderkey").orderBy("o_orderkey").limit(GRAPH_ORDERS)
-    return supplier_edges(_order_lines(spark, sf).join(F.broadcast(orders), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi"))
+def part_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return together(spark, sf, "l_partkey", 2)
 
 
-def supplier_edges(lines: DataFrame) -> DataFrame:
-    """Suppliers that share two of the lines' orders or more."""
-    docs = lines.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("entities"))
-    return op.cooccurrence_edges(docs, 2)
+def supplier_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return together(spark, sf, "l_suppkey", 2)
 
 
-_EDGES = f"""
-o AS (SELECT o_orderkey FROM orders ORDER BY 1 LIMIT {GRAPH_ORDERS}), m AS (SELECT DISTINCT l_orderkey AS d, CAST(l_suppkey AS VARCHAR) AS e FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)),
-edges AS (SELECT x.e AS src, y.e AS dst, count(*) AS weight FROM m x JOIN m y ON x.d = y.d AND x.e < y.e GROUP BY 1, 2 HAVING count(*) >= 2),
+def _edges_sql(key: str, least: int) -> str:
+    return f"""m AS (SELECT DISTINCT l_orderkey AS d, CAST({key} AS VARCHAR) AS e FROM lineitem),
+edges AS (SELECT x.e AS src, y.e AS dst, count(*) AS weight FROM m x JOIN m y ON x.d = y.d AND x.e < y.e GROUP BY 1, 2 HAVING count(*) >= {least}),
 both_ways AS (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges), nodes AS (SELECT DISTINCT a AS node FROM both_ways)
 """
+
+
+_EDGES = _edges_sql("l_partkey", 2)
 #: Levels of the walk from each node; a shortest path may not be longer.
 _LEVELS = 7
 
 
 def _betweenness_sql() -> str:
-    parts = [_EDGES, "w0 AS (SELECT node AS s, node AS t, 1.0::DOUBLE AS paths FROM nodes)"]
+    parts = [_edges_sql("l_suppkey", SHARED_ORDERS), "w0 AS (SELECT node AS s, node AS t, 1.0::DOUBLE AS paths FROM nodes)"]
     for k in range(1, _LEVELS + 1):
         seen = " UNION ALL ".join(f"SELECT s, t FROM w{j}" for j in range(k))
         parts.append(f"w{k} AS MATERIALIZED (SELECT w.s, b.b AS t, sum(w.paths) AS paths FROM w{k - 1} w JOIN both_ways b ON b.a = w.t WHERE NOT EXISTS (SELECT 1 FROM ({seen}) z WHERE z.s = w.s AND z.t = b.b) GROUP BY 1, 2)")
@@ -322,37 +347,45 @@ SELECT g.node, g.degree, round(CASE WHEN n > 2 THEN coalesce(c.x, 0) / ((n - 1)
 
 @query("cooccurrence_edges", f"WITH {_EDGES} SELECT src, dst, weight FROM edges")
 def _(spark, sf):
-    return sample_edges(spark, sf)
+    return part_edges(spark, sf)
 
 
 @query("degree", f"WITH {_EDGES} SELECT a AS node, count(*) AS degree FROM both_ways GROUP BY 1")
 def _(spark, sf):
-    return op.degrees(sample_edges(spark, sf))
+    return op.degrees(part_edges(spark, sf))
 
 
 @query("network_summary", _betweenness_sql())
 def _(spark, sf):
-    return op.network_summary(cut(sample_edges(spark, sf))).withColumn("betweenness", F.round("betweenness", 9))
+    return op.network_summary(cut(together(spark, sf, "l_suppkey", SHARED_ORDERS))).withColumn("betweenness", F.round("betweenness", 9))
+
+
+_COMPONENTS = f"""WITH RECURSIVE {_EDGES}, r AS (SELECT node AS s, node AS t FROM nodes UNION SELECT r.s, b.b FROM r JOIN both_ways b ON b.a = r.t),
+c AS (SELECT s AS node, min(t) AS component FROM r GROUP BY 1)"""
+
+
+@query("graph_components", f"{_COMPONENTS} SELECT node, component FROM c")
+def _(spark, sf):
+    return op.components(cut(part_edges(spark, sf)))
 
 
-@query("largest_component", f"""WITH RECURSIVE {_EDGES}, r AS (SELECT node AS s, node AS t FROM nodes UNION SELECT r.s, b.b FROM r JOIN both_ways b ON b.a = r.t),
-c AS (SELECT s AS node, min(t) AS component FROM r GROUP BY 1), top AS (SELECT component FROM c GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+@query("largest_component", f"""{_COMPONENTS}, top AS (SELECT component FROM c GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
 SELECT node, component FROM c WHERE component = (SELECT component FROM top)""")
 def _(spark, sf):
-    found = op.components(cut(sample_edges(spark, sf)))
+    found = op.components(cut(part_edges(spark, sf)))
     top = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
     return found.join(F.broadcast(top), "component", "left_semi").select("node", "component")
 
 
 @query("network_view")
 def _(spark, sf):
-    edges = cut(supplier_edges(_order_lines(spark, sf)))
+    edges = cut(supplier_edges(spark, sf))
     return op.network_view(edges, op.network_summary(edges))[0]
 
 
 @query("network_view_edges")
 def _(spark, sf):
-    edges = cut(supplier_edges(_order_lines(spark, sf)))
+    edges = cut(supplier_edges(spark, sf))
     return op.network_view(edges, op.network_summary(edges))[1]
 
 

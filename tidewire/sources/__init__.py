@@ -1,3 +1,3 @@
-from .articles import CORE, DROPPABLE, NULL_TOKENS, conform, from_tables, read_articles, write_tables
+from .articles import CORE, NULL_TOKENS, conform, from_tables, read_articles, write_tables
 
-__all__ = ["CORE", "DROPPABLE", "NULL_TOKENS", "conform", "from_tables", "read_articles", "write_tables"]
+__all__ = ["CORE", "NULL_TOKENS", "conform", "from_tables", "read_articles", "write_tables"]

@@ -7,15 +7,11 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The columns of an article, in order, and those that an export may have besides.
+#: The columns of an article, in order.
 CORE = [
     "ARTICLE_ID", "PUBLICATION", "LOAD_DATE", "COUNTRY", "HEADLINE", "ARTICLE TEXT", "AUTHOR", "SOURCE TYPE", "TAGS",
     "CIRCULATION SIZE", "CHANNEL", "LINK", "Public Health SENTIMENT", "World Health Leadership SENTIMENT",
 ]
-DROPPABLE = [
-    "EDITION", "CUSTOM TAGS", "Last Smoke Campaign SENTIMENT", "Health Campaign SENTIMENT", "State Healthcare Funding SENTIMENT",
-    "Penrose Enquiry SENTIMENT", "NHS Reform SENTIMENT",
-]
 #: Texts that a CSV reader of tables takes for missing.
 NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 ORD = "_ord"
