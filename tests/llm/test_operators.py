@@ -576,3 +576,11 @@ def test_token_store(spark, docs, tokenizer, tmp_path):
 
 def test_sha_of_no_items(spark):
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.array_join(F.array().cast("array<string>"), ","), 256)).first()[0]
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark):
+    rows = [r for r in ROWS if r[0] is not None]
+    one, many = ({(r["doc_id"], r["n_tokens"]): (r["score"], r["base_score"]) for r in lm.scores(frame(spark, rows, clash=False).repartition(n)).collect()} for n in (1, 7))
+    assert one.keys() == many.keys()
+    assert all(math.isclose(one[k][0], many[k][0], rel_tol=1e-5) for k in one)
+    assert all(score >= base - math.log10(2) - 1e-9 for score, base in one.values())
