@@ -584,3 +584,8 @@ def test_lm_scores_do_not_depend_on_partitions(spark):
     assert one.keys() == many.keys()
     assert all(math.isclose(one[k][0], many[k][0], rel_tol=1e-5) for k in one)
     assert all(score >= base - math.log10(2) - 1e-9 for score, base in one.values())
+
+
+def test_phrase_of_one_word():
+    s = licenses.Scanner(licenses.TEMPLATES, {"zlib": "zlib"})
+    assert [s.scan(t)["n_base"] for t in (b"qqq zlib qqq", b"the zlib terms", b"zlib zlib", b"zli")] == [1, 1, 2, 0]

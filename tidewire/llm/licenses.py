@@ -103,6 +103,8 @@ class Scanner:
         seqs = [words(t.encode()) for t in texts]
         self.number = {w: k for k, w in enumerate(sorted({w for s in seqs for w in s}))}
         coded = [[self.number[w] for w in s] for s in seqs]
+        #: Words that a run of known words must have to hold a phrase or a match.
+        self.least = min([MIN_MATCH, *(len(c) for c in coded[len(templates) :])])
         self.labels, self.sizes = [*templates], [len(s) for s in coded[: len(templates)]]
         self.auto = SuffixAutomaton(coded)
         found = {self.auto.state(c): (len(c), label) for c, label in zip(coded[len(templates) :], phrases.values())}
@@ -122,7 +124,7 @@ class Scanner:
         places, long = [], []
         known = np.diff(np.concatenate([[0], (ids >= 0).view(np.int8), [0]]))
         begins, ends = np.flatnonzero(known == 1), np.flatnonzero(known == -1)
-        several = ends - begins > 1
+        several = ends - begins >= self.least
         for a, b in zip(begins[several].tolist(), ends[several].tolist()):
             s = n = 0
             for j, x in enumerate(ids[a:b].tolist(), a):

@@ -17,6 +17,8 @@ def folder(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; a local folder only where that is unset, as in tests."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that the cluster shares")
         top = f"file://{tempfile.gettempdir()}/tidewire-shared"
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -265,14 +265,16 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, id_col: str =
         fs, top = pafs.FileSystem.from_uri(folder)
         fs.create_dir(top, recursive=True)
         kept, sizes, out = [], [], None
-        for b in batches:
-            for ids, texts in _batches(b.column(0), b.column(1)):
-                found, size = code.encode([x or b"" for x in texts.cast(pa.binary()).to_pylist()], end)
-                out = out or fs.open_output_stream(f"{top}/.{mine}.bin")
-                out.write(found.astype("<u4" if code.wide else "<u2").tobytes())
-                kept.append(ids)
-                sizes.append(size)
-        gc.enable()
+        try:
+            for b in batches:
+                for ids, texts in _batches(b.column(0), b.column(1)):
+                    found, size = code.encode([x or b"" for x in texts.cast(pa.binary()).to_pylist()], end)
+                    out = out or fs.open_output_stream(f"{top}/.{mine}.bin")
+                    out.write(found.astype("<u4" if code.wide else "<u2").tobytes())
+                    kept.append(ids)
+                    sizes.append(size)
+        finally:
+            gc.enable()
         if out is None:
             return
         out.close()
