@@ -12,7 +12,7 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local["):
+        if not folder and sc.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir names no folder that the cluster shares")
         sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/tidewire-checkpoints")
     return df.checkpoint(eager=True)
