@@ -86,6 +86,15 @@ def test_line_dedup(spark, docs):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_line_dedup_by_shuffle_and_all_pairs_late(spark, docs, monkeypatch, rounds):
+    for name, value in (("BROADCAST_ROWS", 0), ("PAIRS_EACH", 0), ("HUB_ROUNDS", rounds)):
+        monkeypatch.setattr(line_dedup, name, value)
+    _, line, find = brute_lines(ROWS)
+    left = [line(x) for r in line_dedup.dedup_lines(docs).dropDuplicates(["doc_id", "text"]).collect() if r["text"] for x in r["text"].split("\n") if line(x)]
+    assert sorted(map(find, left)) == sorted({find(line(x)) for _, t, _ in ROWS if t for x in t.split("\n") if line(x)})
+
+
 def test_line_signature_recall(spark):
     rng = random.Random(9)
     pairs = [(t := prose(rng, 120), changed(rng, t, 1)) for _ in range(150)]
