@@ -34,21 +34,22 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     """A row for each conversation: id, formatted, loss (array of start, end within each segment)."""
     one = F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = turns.select(F.col(conv_col).alias("id"), one.alias("t")).groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    role = lambda i: F.get("turns", i)["role"]
-    head = lambda t: F.concat(F.lit(BEGIN), F.replace(escaped(t["role"]), F.lit("\n"), F.lit("&#10;")), F.lit("\n"))
-    segments = F.transform(
-        "turns",
-        lambda t, i: F.struct(
-            F.when((i > 0) & (role(i - 1) == t["role"]), F.lit("")).otherwise(head(t)).alias("head"),
-            escaped(t["text"]).alias("body"),
-            F.when((i + 1 < F.size("turns")) & (role(i + 1) == t["role"]), F.lit(NEXT)).otherwise(F.lit(END)).alias("tail"),
-            (t["role"] == LOSS_ROLE).alias("loss"),
-        ),
-    )
-    rows = rows.select("id", segments.alias("s"))
-    formatted = F.array_join(F.transform("s", lambda x: F.concat(x["head"], x["body"], x["tail"])), "")
-    stretch = lambda x: F.struct(F.when(x["loss"], F.length(x["head"])).otherwise(0).alias("start"), F.when(x["loss"], F.length(x["head"]) + F.length(x["body"])).otherwise(0).alias("end"))
-    return rows.select(F.col("id").alias(conv_col), formatted.alias("formatted"), F.transform("s", stretch).alias("loss"))
+    # A block begins where the role isn't the one before; its texts are those of the turns up to the next block.
+    changes = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (F.get("turns", i - 1)["role"] != F.get("turns", i)["role"]))
+    rows = rows.select("id", "turns", changes.alias("begins"))
+    texts = lambda i, k: F.slice("turns", i + 1, F.coalesce(F.get("begins", k + 1), F.size("turns")) - i)["text"]
+    rows = rows.select("id", F.transform("begins", lambda i, k: F.struct(F.get("turns", i)["role"].alias("role"), texts(i, k).alias("texts"))).alias("blocks"))
+    said = lambda b: F.struct(
+        F.concat(F.lit(BEGIN), F.replace(escaped(b["role"]), F.lit("\n"), F.lit("&#10;")), F.lit("\n")).alias("head"), F.transform(b["texts"], escaped).alias("bodies"), (b["role"] == LOSS_ROLE).alias("loss")
+    )
+    rows = rows.select("id", F.transform("blocks", said).alias("blocks"))
+    formatted = F.array_join(F.transform("blocks", lambda b: F.concat(b["head"], F.array_join(b["bodies"], NEXT), F.lit(END))), "")
+
+    def stretches(b: Column) -> Column:
+        begin = lambda k: F.when(b["loss"] & (k == 0), F.length(b["head"])).otherwise(0)
+        return F.transform(b["bodies"], lambda x, k: F.struct(begin(k).alias("start"), (begin(k) + F.when(b["loss"], F.length(x)).otherwise(0)).alias("end")))
+
+    return rows.select(F.col("id").alias(conv_col), formatted.alias("formatted"), F.flatten(F.transform("blocks", stretches)).alias("loss"))
 
 
 def _blocks(formatted: Column) -> Column:
