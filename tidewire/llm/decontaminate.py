@@ -11,8 +11,10 @@ names, are not looked at. An empty benchmark leaves every document clean.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -35,34 +37,39 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def automaton(items: list[tuple[str, bytes]], window: int) -> ahocorasick.Automaton | None:
-    """Of the windows; each has its number of words and the items it comes from."""
-    found: dict[str, tuple[int, set[str]]] = {}
+class Patterns(NamedTuple):
+    """Numbers of the words that items have, from 1, and the automaton over them."""
+
+    numbers: dict[bytes, int]
+    machine: ahocorasick.Automaton
+
+
+def automaton(items: list[tuple[str, bytes]], window: int) -> Patterns | None:
+    """Of the windows; each has its number of words and the items it comes from. Its steps are words, a sixth as many as characters."""
+    numbers: dict[bytes, int] = {}
+    out = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for item, text in items:
-        w = words(text)
+        w = tuple(numbers.setdefault(x, len(numbers) + 1) for x in words(text))
         for i in range(max(1, len(w) - window + 1) if w else 0):
             part = w[i : i + window]
-            found.setdefault(f" {b' '.join(part).decode('latin-1')} ", (len(part), set()))[1].add(item)
-    if not found:
+            _, of = out.get(part, (0, ()))
+            if item not in of:
+                out.add_word(part, (len(part), (*of, item)))
+    if not numbers:
         return None
-    out = ahocorasick.Automaton()
-    for key, (n, ids) in found.items():
-        out.add_word(key, (n, tuple(ids)))
     out.make_automaton()
-    return out
+    return Patterns(numbers, out)
 
 
-def scan_text(text: bytes, patterns: ahocorasick.Automaton | None) -> tuple[int, int, list[str], list[dict], list[dict]]:
+def scan_text(text: bytes, patterns: Patterns | None) -> tuple[int, int, list[str], list[dict], list[dict]]:
     """Number of words, hit words, items, and the hit stretches as word numbers and as code point offsets of the original text."""
     w = words(text)
     if not w or patterns is None:
         return len(w), 0, [], [], []
-    normal = f" {b' '.join(w).decode('latin-1')} "
-    found = list(patterns.iter(normal))
+    found = list(patterns.machine.iter(tuple(map(patterns.numbers.get, w, itertools.repeat(0)))))
     if not found:
         return len(w), 0, [], [], []
-    spaces = np.flatnonzero(np.frombuffer(normal.encode("latin-1"), np.uint8) == 32)
-    last = np.searchsorted(spaces, [end for end, _ in found]) - 1
+    last = np.array([end for end, _ in found])
     size = np.array([n for _, (n, _) in found])
     step = np.zeros(len(w) + 1, np.int64)
     np.add.at(step, last - size + 1, 1)
@@ -78,7 +85,7 @@ def scan_text(text: bytes, patterns: ahocorasick.Automaton | None) -> tuple[int,
     return len(w), int(hit.sum()), sorted({x for _, (_, ids) in found for x in ids}), runs, spans
 
 
-_built: dict[tuple[str, int], ahocorasick.Automaton | None] = {}
+_built: dict[tuple[str, int], Patterns | None] = {}
 
 
 def _patterns(told, window: int):
@@ -94,9 +101,10 @@ def _told(spark, block: list[tuple[str, bytes]]):
     return spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, bytes]]]:
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[list[tuple[str, bytes]]]:
+    """Items, BLOCK_BYTES of them at a time: the driver holds a block, not the benchmark."""
     block, held = [], 0
-    for item, text in benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("string"), text_col).toLocalIterator():
+    for item, text in benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string"), item_text_col).toLocalIterator():
         data = text.encode("utf-8", "surrogatepass")
         if block and held + len(data) > BLOCK_BYTES:
             yield block
@@ -106,7 +114,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
     yield block
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document: id, n_words, n_hit, items, spans. One pass without a shuffle; blocks only where the benchmark is over BLOCK_BYTES."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -124,7 +132,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str =
 
         return run
 
-    parts = [scanner(_told(spark, b)) for b in _blocks(benchmark, item_col, text_col)]
+    parts = [scanner(_told(spark, b)) for b in _blocks(benchmark, item_col, item_text_col)]
     if len(parts) == 1:
         return rows.mapInArrow(parts[0], SCHEMA.format(kind=kind)).drop("runs").withColumnRenamed("id", id_col)
     # Several blocks: documents get a number of their own by which their parts meet again; texts aren't shuffled.
@@ -157,13 +165,13 @@ def flagged(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     return scan(docs, benchmark, **kw).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents that aren't contaminated, with their own columns. Rows pass by the automaton; they meet their verdicts by number only where there are several blocks."""
-    blocks = list(_blocks(benchmark, item_col, "text"))
+    blocks = list(itertools.islice(_blocks(benchmark, item_col, item_text_col), 2))
     if len(blocks) > 1:
         numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("n"), F.col(text_col).alias("text"))
         numbered = shared.keep(numbered, "numbered")
-        good = flagged(numbered, benchmark, window=window, id_col="n", item_col=item_col).where(~F.col("contaminated")).select("n")
+        good = flagged(numbered, benchmark, window=window, id_col="n", item_col=item_col, item_text_col=item_text_col).where(~F.col("contaminated")).select("n")
         return numbered.join(good, "n", "left_semi").select("row.*")
     items = _told(docs.sparkSession, blocks[0])
     at = docs.columns.index(text_col)
