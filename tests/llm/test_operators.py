@@ -200,6 +200,11 @@ def test_decontamination(spark, monkeypatch, block):
     kept = decontaminate.clean(df, bench)
     assert kept.columns == df.columns
     same([(r["doc_id"], r["text"]) for r in kept.collect()], clean)
+    named = bench.select(F.col("item_id").alias("q"), F.col("text").alias("question"))
+    other = df.select("doc_id", F.col("text").alias("body"))
+    again = decontaminate.flagged(other, named, text_col="body", item_col="q", item_text_col="question")
+    same([(r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in again.collect()], want)
+    assert decontaminate.clean(other, named, text_col="body", item_col="q", item_text_col="question").count() == len(clean)
     assert decontaminate.flagged(df, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.flagged(df.limit(0), bench).count() == 0
 
@@ -536,11 +541,13 @@ def test_elias_fano():
     for n, top in ((1, 1), (2, 10), (1000, 5), (1000, 10**9), (3000, 4000)):
         v = np.sort(rng.integers(0, top, n))
         e = token_store.EliasFano.from_bytes(token_store.EliasFano.of(v).to_bytes())
-        assert e.all().tolist() == v.tolist() == [e.select(i) for i in range(n)]
+        assert e.between(0, n).tolist() == v.tolist() == [e.select(i) for i in range(n)]
+        for i, j in [sorted(rng.choice(n + 1, 2, replace=False)) for _ in range(50)]:
+            assert e.between(i, j).tolist() == v[i:j].tolist()
         assert len(e.to_bytes()) * 8 <= n * (3 + max(0, math.log2(max(1, int(v[-1]) / n)))) + 8 * 80 + n / 4 + int(v[-1] > 0) * n
-    assert token_store.EliasFano.of(np.array([], np.int64)).all().tolist() == []
-    with pytest.raises(IndexError):
-        e.select(3000)
+    for wrong in (lambda: e.select(3000), lambda: e.between(5, 5), lambda: e.between(0, 3001)):
+        with pytest.raises(IndexError):
+            wrong()
 
 
 @pytest.fixture(scope="module")
@@ -564,7 +571,7 @@ def test_encoder(tokenizer):
         assert n.tolist() == [len(x) for x in want] and ids.tolist() == [y for x in want for y in x]
 
 
-def test_token_store(spark, docs, tokenizer, tmp_path):
+def test_token_store(spark, docs, tokenizer, tmp_path, monkeypatch):
     path, t = tokenizer
     want, at = [], 0
     for i, x, _ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -579,6 +586,10 @@ def test_token_store(spark, docs, tokenizer, tmp_path):
     shards = token_store.write(docs, folder, path, 2).collect()
     s = token_store.Shard(folder, shards[0]["shard"])
     assert len(s) == shards[0]["n_docs"]
+    for at_once in (1, 50, 1 << 20):
+        monkeypatch.setattr(token_store, "AT_ONCE", at_once)
+        runs = [(i + k, ids[a - bounds[0] : z - bounds[0]].tolist()) for i, bounds, ids in s.runs() for k, (a, z) in enumerate(itertools.pairwise(bounds))]
+        assert runs == [(i, s.ids(i).tolist()) for i in range(len(s))]
     assert zlib.crc32(s.ids(len(s) - 1).astype("<u4").tobytes()) == got[len(s) - 1]["ids_crc32"]
     assert token_store.encoded(docs.limit(0), path).count() == 0
 

@@ -11,6 +11,7 @@ stand together in any order. Other columns are not looked at. An empty table giv
 
 from __future__ import annotations
 
+import bisect
 import gc
 import io
 import json
@@ -80,10 +81,17 @@ class EliasFano:
         window = int.from_bytes(self.lows[first // 8 : (first + self.low + 7) // 8].tobytes(), "little")
         return value << self.low | (window >> first % 8) & ((1 << self.low) - 1)
 
-    def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        bits = np.unpackbits(self.lows, count=self.n * self.low, bitorder="little").reshape(self.n, self.low).astype(np.int64)
-        return (places - np.arange(self.n) << self.low) + bits @ (1 << np.arange(self.low, dtype=np.int64))
+    def between(self, i: int, j: int) -> np.ndarray:
+        """The i-th to the one before the j-th, decoded from the sampled place before them on."""
+        if not 0 <= i < j <= self.n:
+            raise IndexError((i, j))
+        at, stop = int(self.sample[i // SAMPLE]), -(-j // SAMPLE)
+        byte, stop = at // 8, int(self.sample[stop]) // 8 + 1 if stop < len(self.sample) else len(self.high)
+        places = np.flatnonzero(np.unpackbits(self.high[byte:stop], bitorder="little")) + 8 * byte
+        places = places[np.searchsorted(places, at) + i % SAMPLE :][: j - i]
+        first, skip = divmod(i * self.low, 8)
+        bits = np.unpackbits(self.lows[first:], count=skip + (j - i) * self.low, bitorder="little")[skip:].reshape(j - i, self.low).astype(np.int64)
+        return (places - np.arange(i, j) << self.low) + bits @ (1 << np.arange(self.low, dtype=np.int64))
 
     def to_bytes(self) -> bytes:
         head = struct.pack("<QBQQBQ", self.n, self.low, len(self.lows), len(self.high), self.sample.itemsize, len(self.sample))
@@ -316,13 +324,18 @@ class Shard:
         with self.fs.open_input_file(self.bin) as f:
             return np.frombuffer(f.read_at((b - a) * self.wide, a * self.wide), f"<u{self.wide}")
 
-    def runs(self, bounds: np.ndarray):
-        """First document, and the ids of as many documents as about AT_ONCE ids hold, front to back."""
+    def runs(self):
+        """First document of a run, the bounds of its documents and their ids, front to back.
+
+        A run has AT_ONCE ids at most, or is one document. Its end is searched for by select, and its own bounds alone are decoded.
+        """
         with self.fs.open_input_stream(self.bin) as f:
             i = 0
             while i < len(self):
-                j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + AT_ONCE, "right")) - 1)
-                yield i, j, np.frombuffer(f.read(int(bounds[j] - bounds[i]) * self.wide), f"<u{self.wide}").astype("<u4")
+                start = self.bounds.select(i)
+                j = max(i + 1, bisect.bisect_right(range(len(self) + 1), start + AT_ONCE, lo=i, key=self.bounds.select) - 1)
+                bounds = self.bounds.between(i, j + 1)
+                yield i, bounds, np.frombuffer(f.read(int(bounds[-1] - start) * self.wide), f"<u{self.wide}").astype("<u4")
                 i = j
 
 
@@ -333,12 +346,11 @@ def read(spark: SparkSession, shards: DataFrame, folder: str, id_type: str = "lo
         for b in batches:
             for shard, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = Shard(folder, shard)
-                bounds = s.bounds.all()
-                for i, j, ids in s.runs(bounds):
-                    at = bounds[i : j + 1] - bounds[i]
-                    crc = [zlib.crc32(ids[at[k] : at[k + 1]].data) for k in range(j - i)]
-                    name = s.names.slice(i, j - i).combine_chunks()
-                    yield pa.RecordBatch.from_arrays([name, pa.array(bounds[i:j] + first), pa.array(np.diff(bounds[i : j + 1])), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
+                for i, bounds, ids in s.runs():
+                    at, n = bounds - bounds[0], len(bounds) - 1
+                    crc = [zlib.crc32(ids[at[k] : at[k + 1]].data) for k in range(n)]
+                    name = s.names.slice(i, n).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([name, pa.array(bounds[:-1] + first), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
     many = shards.select("shard", "first").repartition(F.col("shard"))
     return many.mapInArrow(run, f"id {id_type}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
