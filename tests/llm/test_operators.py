@@ -170,7 +170,7 @@ def brute_hits(text, items, window=13):
     return len(w), hit, sorted(found)
 
 
-@pytest.mark.parametrize("block", [8_000_000, 200])
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 200])
 def test_decontamination(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     rng = random.Random(2)

@@ -14,7 +14,6 @@ from __future__ import annotations
 import itertools
 import uuid
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -29,47 +28,43 @@ from .shingles import slices
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 STRETCHES = "array<struct<start:int,end:int>>"
 SCHEMA = f"id {{kind}}, n_words long, n_hit long, items array<string>, runs {STRETCHES}, spans {STRETCHES}"
-#: One automaton holds items of so many bytes at most; a larger benchmark is scanned for in blocks of this size.
-BLOCK_BYTES = 8_000_000
+#: One automaton holds items of so many bytes at most; a larger benchmark is scanned for in blocks of this size. Windows overlap,
+#: so that an automaton takes some 500 bytes for each of them: 0.4 GB of a worker's memory here were measured.
+BLOCK_BYTES = 500_000
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-class Patterns(NamedTuple):
-    """Numbers of the words that items have, from 1, and the automaton over them."""
-
-    numbers: dict[bytes, int]
-    machine: ahocorasick.Automaton
-
-
-def automaton(items: list[tuple[str, bytes]], window: int) -> Patterns | None:
-    """Of the windows; each has its number of words and the items it comes from. Its steps are words, a sixth as many as characters."""
-    numbers: dict[bytes, int] = {}
-    out = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+def automaton(items: list[tuple[str, bytes]], window: int) -> ahocorasick.Automaton | None:
+    """Of the windows; each has its number of words and the items it comes from."""
+    found: dict[str, tuple[int, set[str]]] = {}
     for item, text in items:
-        w = tuple(numbers.setdefault(x, len(numbers) + 1) for x in words(text))
+        w = words(text)
         for i in range(max(1, len(w) - window + 1) if w else 0):
             part = w[i : i + window]
-            _, of = out.get(part, (0, ()))
-            if item not in of:
-                out.add_word(part, (len(part), (*of, item)))
-    if not numbers:
+            found.setdefault(f" {b' '.join(part).decode('latin-1')} ", (len(part), set()))[1].add(item)
+    if not found:
         return None
+    out = ahocorasick.Automaton()
+    for key, (n, ids) in found.items():
+        out.add_word(key, (n, tuple(ids)))
     out.make_automaton()
-    return Patterns(numbers, out)
+    return out
 
 
-def scan_text(text: bytes, patterns: Patterns | None) -> tuple[int, int, list[str], list[dict], list[dict]]:
+def scan_text(text: bytes, patterns: ahocorasick.Automaton | None) -> tuple[int, int, list[str], list[dict], list[dict]]:
     """Number of words, hit words, items, and the hit stretches as word numbers and as code point offsets of the original text."""
     w = words(text)
     if not w or patterns is None:
         return len(w), 0, [], [], []
-    found = list(patterns.machine.iter(tuple(map(patterns.numbers.get, w, itertools.repeat(0)))))
+    normal = f" {b' '.join(w).decode('latin-1')} "
+    found = list(patterns.iter(normal))
     if not found:
         return len(w), 0, [], [], []
-    last = np.array([end for end, _ in found])
+    spaces = np.flatnonzero(np.frombuffer(normal.encode("latin-1"), np.uint8) == 32)
+    last = np.searchsorted(spaces, [end for end, _ in found]) - 1
     size = np.array([n for _, (n, _) in found])
     step = np.zeros(len(w) + 1, np.int64)
     np.add.at(step, last - size + 1, 1)
@@ -85,7 +80,7 @@ def scan_text(text: bytes, patterns: Patterns | None) -> tuple[int, int, list[st
     return len(w), int(hit.sum()), sorted({x for _, (_, ids) in found for x in ids}), runs, spans
 
 
-_built: dict[tuple[str, int], Patterns | None] = {}
+_built: dict[tuple[str, int], ahocorasick.Automaton | None] = {}
 
 
 def _patterns(told, window: int):
