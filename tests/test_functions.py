@@ -60,3 +60,61 @@ def test_tags_sentiment_source_words(spark):
     assert one(spark, "BBC News", lambda c: fn.normalize_source(c, {"bbc news": "bbc"})) == "bbc"
     assert one(spark, "", fn.word_count) == 0 and one(spark, "a b", fn.word_count) == 2
     assert one(spark, "A bb c_d é1 x", fn.tokens) == ["bb", "c_d", "é1"]
+
+
+DATES = [
+    ("Friday, 4th July 2025", date(2025, 7, 4)), ("le 4 juillet 2025", date(2025, 7, 4)), ("Vendredi 1er août 2025 à 15:05", date(2025, 8, 1)), ("4. März 2025", date(2025, 3, 4)), ("Freitag, den 4. Okt. 2025, 9:30 Uhr", date(2025, 10, 4)),
+    ("4 de julio de 2025", date(2025, 7, 4)), ("viernes 4 dic 2025", date(2025, 12, 4)), ("4 luglio 2025", date(2025, 7, 4)), ("Sabato 29 feb 2020", date(2020, 2, 29)), ("1º de março de 2025", date(2025, 3, 1)),
+    ("Sept 9, 1999 12:00:01.5 am UTC", date(1999, 9, 9)), ("2025 Jul 4", date(2025, 7, 4)), ("20250704", date(2025, 7, 4)), ("2025/7/4", date(2025, 7, 4)), ("04-07-2025", date(2025, 7, 4)), ("4.7.2025", date(2025, 7, 4)),
+    ("7/4/25", date(2025, 7, 4)), ("13/4/2025", date(2025, 4, 13)), ("4 Jul 69", date(1969, 7, 4)), ("Jul 4, 2025 3 PM", date(2025, 7, 4)), ("2025-07-04 23:59:59", date(2025, 7, 4)), (" JULY 4 2025\n", date(2025, 7, 4)),
+    ("29 Feb 2025", None), ("31/31/2025", None), ("July 2025", None), ("4 July", None), ("2025", None), ("4 Julx 2025", None), ("jui 4 2025", None), ("4 5 July 2025", None), ("2025-13-01", None), ("12:30", None), ("7/4/025", None),
+    ("x" * 100_000, None), ("4 July 2025 and more words", None), ("?", None), ("00000000", None),
+]
+
+
+def test_free_dates(spark):
+    got = spark.createDataFrame([(t,) for t, _ in DATES], "t string").select("t", fn.parse_date(F.col("t")).alias("d")).collect()
+    assert [(r["t"], r["d"]) for r in got] == DATES
+
+
+def test_which_number_is_the_day(spark):
+    for text, first, second in (("07/04/2025", date(2025, 4, 7), date(2025, 7, 4)), ("07-04-2025", date(2025, 4, 7), date(2025, 7, 4)), ("13/04/2025", date(2025, 4, 13), date(2025, 4, 13)), ("04/13/2025", date(2025, 4, 13), date(2025, 4, 13))):
+        assert one(spark, text, lambda c: fn.parse_date(c, day_first=True)) == first and one(spark, text, lambda c: fn.parse_date(c, day_first=False)) == second
+    assert one(spark, "4 juillet 2025", lambda c: fn.parse_date(c, languages=("en", "de"))) is None
+
+
+def twice(text, encoding):
+    return text.encode().decode(encoding).encode().decode(encoding)
+
+
+MISREAD = [
+    (twice("é", "cp1252"), "é"), (twice("naïve café", "latin-1"), "naïve café"), ("Łódź – ż".encode().decode("latin-1"), "Łódź – ż"), ("é – ok".encode().decode("mac_roman"), "é – ok"), ("ż".encode().decode("cp1250"), "ż"),
+    ("Привет".encode().decode("latin-1"), "Привет"), ("😀 ok".encode().decode("latin-1"), "😀 ok"), ("e\u0301", "é"), ("\u1112\u1161\u11ab", "한"), ("\u212b", "Å"), ("a\u0323\u0307", "ạ\u0307"), ("a\u0307\u0323", "ạ\u0307"),
+    ("CAFÉ”", "CAFÉ”"), ("naïve “ÀÉ” Ünïcödé ß", "naïve “ÀÉ” Ünïcödé ß"), ("MAÇÃ, SÃO", "MAÇÃ, SÃO"), ("Łódź", "Łódź"), ("Привет «мир»", "Привет «мир»"), ("漢字かな 한국어", "漢字かな 한국어"), ("", ""), (None, None), ("plain", "plain"),
+]
+
+
+def test_repair(spark):
+    got = spark.createDataFrame([(t,) for t, _ in MISREAD], "t string").select("t", fn.repair(F.col("t")).alias("d")).collect()
+    assert [(r["t"], r["d"]) for r in got] == MISREAD
+
+
+def test_all_composed_code_points(spark):
+    import unicodedata
+
+    whole = [chr(c) for c in range(0x80, 0x30000) if unicodedata.normalize("NFD", chr(c)) != chr(c)]
+    got = spark.createDataFrame([(c, unicodedata.normalize("NFD", c)) for c in whole], "c string, d string").select("c", fn.repair(F.col("d")).alias("d"), fn.repair(F.col("c")).alias("e")).collect()
+    assert len(got) > 12_000 and all(r["d"] == r["e"] == unicodedata.normalize("NFC", r["c"]) for r in got)
+
+
+def test_texts_of_the_tables_need_no_repair(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert df.where(fn.repair(F.col("text")) != F.col("text")).count() == 0
+
+
+def test_many_inner_blanks_are_stripped_at_once(spark):
+    import time
+
+    text = "a" + " " * 200_000 + "b"
+    began = time.time()
+    assert one(spark, f" \u3000{text}\x85 ", fn.strip) == text and time.time() - began < 20

@@ -155,9 +155,12 @@ def test_network(spark):
     edges = op.cooccurrence_edges(df, 3)
     assert {(r[0], r[1]): r[2] for r in rows(edges)} == {k: v for k, v in pairs.items() if v >= 3}
     assert op.cooccurrence_edges(df, 1000).columns == ["src", "dst", "weight"] and op.cooccurrence_edges(df, 1000).count() == 0
-    nodes, kept = op.network_view(edges, op.network_summary(edges), top_n=6, label_top=2)
+    edges = edges.cache()
+    summary = op.network_summary(edges).cache()
+    nodes, kept = op.network_view(edges, summary, top_n=6, label_top=2)
+    nodes = nodes.cache()
     n, k = nodes.orderBy("rank").collect(), kept.collect()
-    bar = np.percentile([v for (a, b), v in pairs.items() if v >= 3 and {a, b} <= {r["node"] for r in op.network_summary(edges).limit(6).collect()}], 50)
+    bar = np.percentile([v for (a, b), v in pairs.items() if v >= 3 and {a, b} <= {r["node"] for r in summary.limit(6).collect()}], 50)
     assert all(r["weight"] >= bar for r in k) and {r["node"] for r in n} == {x for r in k for x in (r["src"], r["dst"])}
     assert n[0]["size"] == 400 and n[-1]["size"] == 2200 and [r["label"] for r in n].count(True) == 2
     comp = dict(rows(op.components(spark.createDataFrame([("b", "a"), ("b", "c"), ("x", "y"), ("c", "d")], "src string, dst string"))))

@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .repair import repair
+
 #: What cleaning turns into a space. `[\\p{L}\\p{N}_]` is a word character of Unicode; Java's own and RE2's are ASCII's.
 NOISE = r"http\S+|\S+@\S+|#[\p{L}\p{N}_]+|@[\p{L}\p{N}_]+"
 #: The same matches: an address starts where its word does, so a long word is searched for one once, not from each of its characters.
 _NOISE_JAVA = NOISE.replace(r"\S+@", r"(?<!\S)\S+@")
 #: White space of Unicode, for Java's regular expressions.
 SPACE = r"[\s\x1c-\x1f\x85   -     　]"
+#: The same characters.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if re.match(SPACE, c, re.ASCII))
 #: Code points of pictographs, regional letters, and the joiners and selectors that belong to them.
 EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B50}\x{2B55}\x{231A}\x{231B}\x{23E9}-\x{23FA}\x{FE0F}\x{200D}\x{20E3}]"
-#: Text that was UTF-8, read as Windows-1252: what it became, from what it was.
-_ONCE = "àáâäçèéêëìíîïñòóôöùúûüßÉÈÀÇÜÖÄ£°’‘“–—…€"
-MOJIBAKE = {c.encode().decode("cp1252"): c for c in _ONCE if not {0x81, 0x8D, 0x8F, 0x90, 0x9D} & set(c.encode())}
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " "}
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff"}
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"^{SPACE}+", ""), f"{SPACE}+$", "")
+    """Without white space at both ends: each end is looked at once."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def let(value: Column, f) -> Column:
@@ -39,7 +42,7 @@ def _replaced(c: Column, pairs: Mapping[str, str]) -> Column:
 
 def fix_text(c: Column) -> Column:
     """Repairs misread UTF-8, HTML entities in texts without tags, curly quotes, ligatures, line ends and control characters. Each repair first looks whether there is anything to do."""
-    c = let(c, lambda x: F.when(x.rlike("[ÃÂâ][\u0080-¿Œ-™]"), _replaced(x, MOJIBAKE)).otherwise(x))
+    c = repair(c)
     c = let(c, lambda x: F.when(x.contains("&") & ~x.contains("<"), _replaced(_replaced(x, ENTITIES), {"&amp;": "&"})).otherwise(x))
     c = let(c, lambda x: F.when(x.rlike("[‘-„ﬀ-ﬂ]"), _replaced(F.translate(x, "‘’‚“”„", "'''\"\"\""), LIGATURES)).otherwise(x))
     c = let(c, lambda x: F.when(x.rlike(r"[\x00-\x08\x0d-\x1b\x7f]"), F.regexp_replace(F.regexp_replace(x, "\r\n?", "\n"), r"[\x00-\x08\x0e-\x1b\x7f]", "")).otherwise(x))

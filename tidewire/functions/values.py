@@ -1,4 +1,4 @@
-"""Dates, numbers and sentiment labels."""
+"""Periods of dates, numbers and sentiment labels."""
 
 from __future__ import annotations
 
@@ -7,26 +7,11 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
-#: Tried in this order; the local calendar date counts, the time of day is dropped.
-DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "MMM d, yyyy h:mm a", "yyyy/MM/dd", "dd-MM-yyyy", "yyyyMMdd")
+#: What the labels count, and where a score stops being neutral.
 SENTIMENTS = {"positive": 1.0, "neutral": 0.0, "negative": -1.0}
 THRESHOLD = 0.05
 
 
-def parse_date(c: Column, formats: tuple[str, ...] = DATE_FORMATS, as_of: Column | None = None) -> Column:
-    """Date of a text in any of the formats, of an ISO time stamp, or with as_of of "today", "yesterday", "N days ago"; else null."""
-    s = strip(c)
-    iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), F.try_to_timestamp(F.substring(s, 1, 10), F.lit("yyyy-MM-dd")))
-    found = [iso, *[F.try_to_timestamp(s, F.lit(f)) for f in formats]]
-    out = F.coalesce(*[f.cast("date") for f in found])
-    if as_of is None:
-        return out
-    low = F.lower(s)
-    ago = F.regexp_extract(low, r"^(\d{1,4}) (day|week)s? ago$", 1)
-    days = F.when(low == "today", 0).when(low == "yesterday", 1).when(ago != "", F.try_to_number(ago, F.lit("9999")).cast("int") * F.when(low.contains("week"), 7).otherwise(1))
-    return F.coalesce(out, F.date_sub(as_of.cast("date"), days))
-
-
 def week_start(c: Column) -> Column:
     """The Monday of the week."""
     return F.date_trunc("week", c).cast("date")

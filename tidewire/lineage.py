@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; a local folder only where that is unset and the master is local, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir names no folder that the cluster shares")
+    return folder or f"{tempfile.gettempdir()}/tidewire-checkpoints"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed at once. The folder is the cluster's spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """df, checkpointed at once in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and sc.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir names no folder that the cluster shares")
-        sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/tidewire-checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantile
+
 
 def _any_keyword(keywords: list[str], *texts: str) -> Column:
     quoted = "|".join("\\Q" + k.replace("\\E", "\\E\\\\E\\Q") + "\\E" for k in keywords)
@@ -26,7 +28,7 @@ def derive_conversion_flag(
 ) -> DataFrame:
     """Adds 0 or 1: a keyword in headline or text, a tag, or a publication, whatever the case; with a quantile, only at or over it in circulation.
 
-    The quantile is exact, over all rows; it joins as one broadcast row."""
+    The quantile is exact, over all rows, and found at once: it reads the circulation alone."""
     words, tags, names = (list(x or ()) for x in (text_keywords, tag_includes, publication_includes))
     hit = F.lit(False)
     if words:
@@ -37,5 +39,5 @@ def derive_conversion_flag(
         hit = hit | F.coalesce(F.lower("PUBLICATION").isin([n.lower() for n in names]), F.lit(False))
     if min_circulation_quantile is None:
         return df.withColumn(col_name, hit.cast("int"))
-    q = df.agg(F.percentile("CIRCULATION_SIZE_NUM", F.lit(min_circulation_quantile)).alias("_q"))
-    return df.crossJoin(F.broadcast(q)).withColumn(col_name, F.coalesce(hit & (F.col("CIRCULATION_SIZE_NUM") >= F.col("_q")), F.lit(False)).cast("int")).drop("_q")
+    q = quantile(df, "CIRCULATION_SIZE_NUM", min_circulation_quantile)
+    return df.withColumn(col_name, F.coalesce(hit & (F.col("CIRCULATION_SIZE_NUM") >= F.lit(q)), F.lit(False)).cast("int"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens
+from .quantiles import quantile as _quantile
 
 #: English function words that are no keywords; a parameter of what follows. Lists of libraries differ.
 STOP_WORDS = tuple(
@@ -38,19 +39,19 @@ def keywords_high_circ_conversion(
 ) -> DataFrame:
     """term, count: the most frequent n-grams of converted articles (of all, if none is) at or over the quantile of their circulation.
 
-    Terms in fewer than min_df articles or over max_df of them go; equal counts by term, descending. Two one-row
-    aggregates are broadcast; the corpus is never gathered. strict raises when no term is left."""
+    Terms in fewer than min_df articles or over max_df of them go; equal counts by term, descending. The quantile and
+    whether any article has converted are found at once, from their columns alone, so that texts are read, and what made them
+    is run, for the articles that pass. strict raises when no term is left."""
     subset = df
-    if conv_col in df.columns:
-        some = df.agg(F.coalesce(F.sum(conv_col), F.lit(0)).alias("_conv"))
-        subset = df.crossJoin(F.broadcast(some)).where((F.col(conv_col) == 1) | (F.col("_conv") == 0))
-    subset = subset.select(F.col(circ_col).alias("circ"), F.coalesce(text_col, F.lit("")).alias("text"))
-    q = subset.agg(F.percentile("circ", F.lit(quantile)).alias("q"))
-    docs = subset.crossJoin(F.broadcast(q)).where("circ >= q").select(F.monotonically_increasing_id().alias("doc"), F.filter(tokens(F.col("text")), lambda w: ~w.isin(list(stop_words))).alias("w"))
+    if conv_col in df.columns and not df.where(F.col(conv_col) == 1).select(conv_col).isEmpty():
+        subset = df.where(F.col(conv_col) == 1)
+    q = _quantile(subset, circ_col, quantile)
+    passed = subset.where(F.col(circ_col) >= F.lit(q))
+    docs = passed.select(F.coalesce(text_col, F.lit("")).alias("text")).select(F.monotonically_increasing_id().alias("doc"), F.filter(tokens(F.col("text")), lambda w: ~w.isin(list(stop_words))).alias("w"))
     low, high = ngram_range
     per_doc = docs.select("doc", F.explode(F.concat(*[_grams(n) for n in range(low, high + 1)])).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
     counts = per_doc.groupBy("term").agg(F.sum("tf").alias("count"), F.count(F.lit(1)).alias("df"))
-    n_docs = subset.crossJoin(F.broadcast(q)).where("circ >= q").agg(F.count(F.lit(1)).alias("n"))
+    n_docs = passed.agg(F.count(F.lit(1)).alias("n"))
     kept = counts.crossJoin(F.broadcast(n_docs)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
     out = kept.orderBy(F.desc("count"), F.desc("term")).limit(n_terms).select("term", "count")
     if strict and out.isEmpty():

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-
-#: Betweenness sends the whole edge list to each task; a graph of more edges than this is refused.
-MAX_EDGES = 2_000_000
+from .centrality import betweenness
+from .quantiles import quantile
+#: Names of a document that meet in one task, about.
+BLOCK = 500
 
 
 def capitalised_spans(text: Column) -> Column:
-    """Runs of capitalised words, two or more: a plain stand-in for a name recogniser."""
+    """Runs of capitalised words, two or more: a plain stand-in for named_entities()."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\p{Lu}[\p{L}\p{N}'-]+(?: \p{Lu}[\p{L}\p{N}'-]+)+)"), F.lit(1)))
 
 
@@ -27,12 +26,29 @@ def gazetteer(names: Iterable[str]) -> Callable[[Column], Column]:
     return lambda text: F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?<![\\p{{L}}\\p{{N}}])({quoted})(?![\\p{{L}}\\p{{N}}])"), F.lit(1)))
 
 
-def cooccurrence_edges(docs: DataFrame, min_cooccurrences: int = 2, doc: str = "doc_id", entities: str = "entities") -> DataFrame:
-    """src, dst, weight: documents that hold both, src < dst. Pairs come from an equi-join on the document, counted with partial sums."""
+def _named(docs: DataFrame, min_cooccurrences: int, doc: str, entities: str) -> DataFrame:
+    """d, e: each document's names, once. Names in fewer documents than an edge needs are dropped: none of their edges can have the weight."""
     each = docs.select(F.col(doc).alias("d"), F.explode(F.array_distinct(F.transform(entities, lambda e: F.trim(e)))).alias("e")).where("e <> ''")
-    a, b = each.alias("a"), each.alias("b")
-    pairs = a.join(b, (F.col("a.d") == F.col("b.d")) & (F.col("a.e") < F.col("b.e")))
-    return pairs.groupBy(F.col("a.e").alias("src"), F.col("b.e").alias("dst")).agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_cooccurrences)
+    if min_cooccurrences < 2:
+        return each
+    often = each.groupBy("e").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_cooccurrences).select("e")
+    return each.join(often, "e", "left_semi").select("d", "e")
+
+
+def _pairs(each: DataFrame) -> DataFrame:
+    """src, dst: a row for each pair of names of a document, src < dst. A document of very many is cut into blocks of about BLOCK, and two blocks meet in a task."""
+    blocks = each.groupBy("d").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = each.join(blocks, "d").withColumn("k", F.pmod(F.xxhash64("e"), F.col("blocks")).cast("int"))
+    left = placed.select("d", F.col("e").alias("x"), F.col("k").alias("i"), F.explode(F.sequence(F.col("k"), F.col("blocks") - 1)).alias("j"))
+    right = placed.select("d", F.col("e").alias("y"), F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"), F.col("k").alias("j"))
+    met = left.join(right, ["d", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    return met.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
+
+
+def cooccurrence_edges(docs: DataFrame, min_cooccurrences: int = 2, doc: str = "doc_id", entities: str = "entities") -> DataFrame:
+    """src, dst, weight: documents that hold both, src < dst, at least so many. Pairs are counted with partial sums."""
+    pairs = _pairs(_named(docs, min_cooccurrences, doc, entities))
+    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_cooccurrences)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -41,60 +57,14 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def _dependencies(first: np.ndarray, to: np.ndarray, source: int) -> np.ndarray:
-    """Brandes, a level at a time: what each node carries of the shortest paths from one source. Node v's neighbours are to[first[v]:first[v + 1]]."""
-    n = len(first) - 1
-    far, paths, carried = np.full(n, -1), np.zeros(n), np.zeros(n)
-    far[source], paths[source] = 0, 1.0
-    level, steps = np.array([source]), []
-    while len(level):
-        size = first[level + 1] - first[level]
-        u = np.repeat(level, size)
-        w = to[np.arange(len(u)) + np.repeat(first[level] - np.cumsum(size) + size, size)]
-        new = far[w] < 0
-        u, w = u[new], w[new]
-        paths += np.bincount(w, paths[u], n)
-        level = np.unique(w)
-        far[level] = len(steps) + 1
-        steps.append((u, w))
-    for u, w in reversed(steps):
-        carried += np.bincount(u, paths[u] / paths[w] * (1 + carried[w]), n)
-    carried[source] = 0.0
-    return carried
-
-
-def betweenness(edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
-    """node, betweenness: unweighted, ends left out, divided by (n - 1)(n - 2); 0 where n <= 2.
-
-    Sources are dealt over tasks, each with the edge list as numbers, whose size is checked; partial sums meet by node."""
-    spark = edges.sparkSession
-    rows = edges.select("src", "dst").orderBy("src", "dst").limit(max_edges + 1).collect()
-    if len(rows) > max_edges:
-        raise ValueError(f"betweenness is for graphs of up to {max_edges} edges")
-    names, ends = np.unique(np.array([[r["src"], r["dst"]] for r in rows], object).reshape(-1, 2).astype(str), return_inverse=True)
-    ends, n = ends.reshape(-1, 2), len(names)
-    a, z = np.concatenate([ends, ends[:, ::-1]]).T
-    first = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n))])
-    told = spark.sparkContext.broadcast((first, z[np.argsort(a, kind="stable")]))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros(n)
-        for b in batches:
-            for source in b["id"]:
-                sums += _dependencies(*told.value, source)
-        some = np.flatnonzero(sums)
-        yield pd.DataFrame({"id": some, "x": sums[some]})
-
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    tasks = max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    parts = spark.range(0, n, 1, tasks).mapInPandas(run, "id long, x double").groupBy("id").agg((F.sum("x") * scale).alias("betweenness"))
-    nodes = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "node": names.astype(object)}), "id long, node string")
-    return nodes.join(parts, "id", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+def _near(c: str) -> Column:
+    """Rounded, so that sums taken in another order are ties still."""
+    return F.round(c, 12)
 
 
 def network_summary(edges: DataFrame) -> DataFrame:
     """node, degree, betweenness; most central first."""
-    return degrees(edges).join(betweenness(edges), "node").select("node", "degree", "betweenness").orderBy(F.desc("betweenness"), F.desc("degree"), "node")
+    return degrees(edges).join(betweenness(edges), "node").select("node", "degree", "betweenness").orderBy(F.desc(_near("betweenness")), F.desc("degree"), "node")
 
 
 def eda_network(df: DataFrame, sample_n: int | None = 2000, min_cooccurrences: int = 2, extractor: Callable[[Column], Column] = capitalised_spans, text_col: str = "ARTICLE_TEXT_CLEAN", order: str = "_ord", chars: int | None = 2000) -> tuple[DataFrame, DataFrame]:
@@ -127,16 +97,16 @@ def network_view(edges: DataFrame, summary: DataFrame, top_n: int = 40, label_to
     The top_n nodes of the summary, the largest component among them (by its smallest node on a tie), the heaviest
     edge_keep_pct percent of its edges. Sizes go from 400 for the most central to 2200, as figures of this kind have had them.
     At most top_n nodes are left after the first step, so its tables are small."""
-    top = summary.orderBy(F.desc("betweenness"), F.desc("degree"), "node").limit(top_n).select("node")
+    top = summary.orderBy(F.desc(_near("betweenness")), F.desc("degree"), "node").limit(top_n).select("node")
     both_in = lambda e, n: e.join(F.broadcast(n.withColumnRenamed("node", "src")), "src", "left_semi").join(F.broadcast(n.withColumnRenamed("node", "dst")), "dst", "left_semi").select("src", "dst", "weight")
     inner = cut(both_in(edges, top))
     comp = components(inner)
     largest = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
     inner = both_in(inner, comp.join(F.broadcast(largest), "component", "left_semi").select("node"))
-    bar = inner.agg(F.percentile("weight", F.lit(1 - edge_keep_pct / 100)).alias("bar"))
-    kept = inner.crossJoin(F.broadcast(bar)).where("weight >= bar").select("src", "dst", "weight", (0.6 + F.log1p("weight")).alias("width"))
+    # How figures of this kind have drawn widths, and below sizes.
+    kept = inner.where(F.col("weight") >= F.lit(quantile(inner, "weight", 1 - edge_keep_pct / 100))).select("src", "dst", "weight", (0.6 + F.log1p("weight")).alias("width"))
     kept = cut(kept)
-    order = Window.orderBy(F.desc("betweenness"), "node")
+    order = Window.orderBy(F.desc(_near("betweenness")), "node")
     nodes = betweenness(kept).select("node", "betweenness", F.row_number().over(order).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
     size = F.when(F.col("n") > 1, 400 + (F.col("rank") - 1) * 1800.0 / (F.col("n") - 1)).otherwise(400.0)
     return nodes.select("node", "betweenness", "rank", size.alias("size"), (F.col("rank") <= label_top).alias("label")), kept

@@ -5,6 +5,7 @@ A query is a function of (spark, folder of tables). Columns have the same names
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,11 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from .. import operators as op
 from ..functions.text import NOISE
-from ..lineage import cut
+from ..lineage import cut, shared_folder
 from ..operators.keywords import STOP_WORDS
 from ..operators.preprocess import SENTIMENT_COLUMNS
 from ..sources import from_tables
-from ..streaming import read_event_stream, tumbling_volumes
+from ..streaming import latest, narratives, read_event_stream, run_to_files, run_to_tables, tumbling_volumes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,8 +26,8 @@ SQL: dict[str, str] = {}
 
 #: What counts as a conversion in the sample queries.
 KEYWORDS, TAGS, PUBLICATIONS, QUANTILE = ["tionthe", "EREN"], ["Ring"], ["SRC3", "src7"], 0.5
-#: Orders that two suppliers share, at least, to be linked in `network_summary`; parts need two.
-SHARED_ORDERS = 24
+#: Orders that two parts or suppliers share, at least, to be linked.
+SHARED_ORDERS = 2
 
 # Parts of the SQL side: the articles, and their cleaned text.
 _ARTICLES = """
@@ -302,12 +303,31 @@ def _(spark, sf):
     return op.run_attribution_model(sample_paths(spark, sf)).withColumns({"removal_effect": F.round("removal_effect", 6), "attribution": F.round("attribution", 4)})
 
 
-@query("markov_attribution_order2")
+#: States are the last two channels; a path of one channel has that alone.
+_PAIRS = """
+states AS (SELECT list_transform(range(1, greatest(len(c) - 1, 1) + 1), lambda i: array_to_string(c[i:i + 1], '>')) AS s FROM paths),
+steps2 AS (
+  SELECT '(start)' AS src, s[1] AS dst FROM states UNION ALL SELECT s[len(s)], '(conversion)' FROM states
+  UNION ALL SELECT x.a, x.b FROM (SELECT unnest(list_transform(range(1, len(s)), lambda i: {'a': s[i], 'b': s[i + 1]})) AS x FROM states)
+), chain2 AS (SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src) AS p FROM steps2 GROUP BY 1, 2)
+"""
+
+
+@query("markov_attribution_order2", f"""WITH RECURSIVE {_PATHS}, {_PAIRS}, t AS (SELECT src, dst, p FROM chain2 UNION ALL SELECT '(conversion)', '(conversion)', 1.0),
+gone AS (SELECT DISTINCT unnest(string_split(src, '>')) AS channel FROM chain2 WHERE src <> '(start)' UNION ALL SELECT ''),
+it AS (
+  SELECT 0 AS k, channel, '(conversion)' AS state, 1.0::DOUBLE AS h FROM gone
+  UNION ALL
+  SELECT it.k + 1, it.channel, t.src, sum(t.p * it.h) FROM it JOIN t ON t.dst = it.state WHERE it.k < 400 AND NOT list_contains(string_split(t.src, '>'), it.channel) GROUP BY 1, 2, 3
+), hit AS (SELECT channel, h FROM it WHERE k = 400 AND state = '(start)'),
+e AS (SELECT g.channel, 1 - coalesce(hit.h, 0) / (SELECT h FROM hit WHERE channel = '') AS effect FROM gone g LEFT JOIN hit ON hit.channel = g.channel WHERE g.channel <> ''),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM paths)
+SELECT channel, n AS total_conversions, round(effect, 6) AS removal_effect, round(n * effect / (SELECT sum(effect) FROM e), 4) AS attribution FROM e, n""")
 def _(spark, sf):
-    return op.run_attribution_model(sample_paths(spark, sf), order=2)
+    return op.run_attribution_model(sample_paths(spark, sf), order=2).withColumns({"removal_effect": F.round("removal_effect", 6), "attribution": F.round("attribution", 4)})
 
 
-def together(spark: SparkSession, sf: str, key: str, least: int) -> DataFrame:
+def together(spark: SparkSession, sf: str, key: str, least: int = SHARED_ORDERS) -> DataFrame:
     """Edges between the parts or suppliers that share so many orders."""
     lines = _read(spark, sf, "lineitem").select("l_orderkey", key)
     docs = lines.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_set(F.col(key).cast("string")).alias("entities"))
@@ -315,34 +335,39 @@ def together(spark: SparkSession, sf: str, key: str, least: int) -> DataFrame:
 
 
 def part_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return together(spark, sf, "l_partkey", 2)
+    return together(spark, sf, "l_partkey")
 
 
 def supplier_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return together(spark, sf, "l_suppkey", 2)
+    return together(spark, sf, "l_suppkey")
 
 
-def _edges_sql(key: str, least: int) -> str:
+def _edges_sql(key: str) -> str:
     return f"""m AS (SELECT DISTINCT l_orderkey AS d, CAST({key} AS VARCHAR) AS e FROM lineitem),
-edges AS (SELECT x.e AS src, y.e AS dst, count(*) AS weight FROM m x JOIN m y ON x.d = y.d AND x.e < y.e GROUP BY 1, 2 HAVING count(*) >= {least}),
+edges AS (SELECT x.e AS src, y.e AS dst, count(*) AS weight FROM m x JOIN m y ON x.d = y.d AND x.e < y.e GROUP BY 1, 2 HAVING count(*) >= {SHARED_ORDERS}),
 both_ways AS (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges), nodes AS (SELECT DISTINCT a AS node FROM both_ways)
 """
 
 
-_EDGES = _edges_sql("l_partkey", 2)
+_EDGES = _edges_sql("l_partkey")
 #: Levels of the walk from each node; a shortest path may not be longer.
-_LEVELS = 7
+_LEVELS = 16
 
 
-def _betweenness_sql() -> str:
-    parts = [_edges_sql("l_suppkey", SHARED_ORDERS), "w0 AS (SELECT node AS s, node AS t, 1.0::DOUBLE AS paths FROM nodes)"]
-    for k in range(1, _LEVELS + 1):
-        seen = " UNION ALL ".join(f"SELECT s, t FROM w{j}" for j in range(k))
-        parts.append(f"w{k} AS MATERIALIZED (SELECT w.s, b.b AS t, sum(w.paths) AS paths FROM w{k - 1} w JOIN both_ways b ON b.a = w.t WHERE NOT EXISTS (SELECT 1 FROM ({seen}) z WHERE z.s = w.s AND z.t = b.b) GROUP BY 1, 2)")
-    parts.append("d AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT s, t, {k} AS far, paths FROM w{k}" for k in range(_LEVELS + 1)) + ")")
-    parts.append("c AS (SELECT sv.t AS node, sum(sv.paths * vt.paths / st.paths) AS x FROM d sv JOIN d vt ON vt.s = sv.t JOIN d st ON st.s = sv.s AND st.t = vt.t WHERE sv.far > 0 AND vt.far > 0 AND sv.far + vt.far = st.far GROUP BY 1)")
-    return "WITH " + ", ".join(parts) + """, n AS (SELECT count(*) AS n FROM nodes), g AS (SELECT a AS node, count(*) AS degree FROM both_ways GROUP BY 1)
-SELECT g.node, g.degree, round(CASE WHEN n > 2 THEN coalesce(c.x, 0) / ((n - 1) * (n - 2)) ELSE 0 END, 9) AS betweenness FROM g LEFT JOIN c ON c.node = g.node, n"""
+def _betweenness_sql(both: str, name: str, levels: int = _LEVELS) -> str:
+    """Tables ending in `name` (node, degree, betweenness), of the pairs (a, b) of `both`: out level by level, and back."""
+    w, c = f"{name}_w", f"{name}_c"
+    parts = [f"{w}0 AS (SELECT DISTINCT a AS s, a AS t, 1.0::DOUBLE AS paths FROM {both})"]
+    for k in range(1, levels + 1):
+        seen = " UNION ALL ".join(f"SELECT s, t FROM {w}{j}" for j in range(max(0, k - 2), k))
+        parts.append(f"{w}{k} AS MATERIALIZED (SELECT w.s, b.b AS t, sum(w.paths) AS paths FROM {w}{k - 1} w JOIN {both} b ON b.a = w.t WHERE NOT EXISTS (SELECT 1 FROM ({seen}) z WHERE z.s = w.s AND z.t = b.b) GROUP BY 1, 2)")
+    for k in range(levels, 0, -1):
+        given = f"SELECT c.s, b.b AS t, sum((1 + c.x) / c.paths) AS y FROM {c}{k + 1} c JOIN {both} b ON b.a = c.t GROUP BY 1, 2" if k < levels else "SELECT NULL AS s, NULL AS t, 0.0::DOUBLE AS y"
+        parts.append(f"{c}{k} AS MATERIALIZED (SELECT w.s, w.t, w.paths, w.paths * coalesce(g.y, 0) AS x FROM {w}{k} w LEFT JOIN ({given}) g ON g.s = w.s AND g.t = w.t)")
+    every = " UNION ALL ".join(f"SELECT t, x FROM {c}{k}" for k in range(1, levels + 1))
+    parts.append(f"""{name} AS (SELECT g.node, g.degree, CASE WHEN n > 2 THEN coalesce(x.x, 0) / ((n - 1) * (n - 2)) ELSE 0 END AS betweenness FROM (SELECT a AS node, count(*) AS degree FROM {both} GROUP BY 1) g
+  LEFT JOIN (SELECT t, sum(x) AS x FROM ({every}) GROUP BY 1) x ON x.t = g.node, (SELECT count(DISTINCT a) AS n FROM {both}))""")
+    return ", ".join(parts)
 
 
 @query("cooccurrence_edges", f"WITH {_EDGES} SELECT src, dst, weight FROM edges")
@@ -355,9 +380,11 @@ def _(spark, sf):
     return op.degrees(part_edges(spark, sf))
 
 
-@query("network_summary", _betweenness_sql())
-def _(spark, sf):
-    return op.network_summary(cut(together(spark, sf, "l_suppkey", SHARED_ORDERS))).withColumn("betweenness", F.round("betweenness", 9))
+for _name, _key in (("network_summary", "l_suppkey"), ("part_network_summary", "l_partkey")):
+
+    @query(_name, f"WITH {_edges_sql(_key)}, {_betweenness_sql('both_ways', 'central')} SELECT node, degree, round(betweenness, 9) AS betweenness FROM central")
+    def _(spark, sf, key=_key):
+        return op.network_summary(cut(together(spark, sf, key))).withColumn("betweenness", F.round("betweenness", 9))
 
 
 _COMPONENTS = f"""WITH RECURSIVE {_EDGES}, r AS (SELECT node AS s, node AS t FROM nodes UNION SELECT r.s, b.b FROM r JOIN both_ways b ON b.a = r.t),
@@ -377,21 +404,35 @@ def _(spark, sf):
     return found.join(F.broadcast(top), "component", "left_semi").select("node", "component")
 
 
-@query("network_view")
+#: The 40 most central suppliers, the largest component among them, its heavier half of edges, and that graph's own figures.
+_VIEW = f"""WITH RECURSIVE {_edges_sql("l_suppkey")}, {_betweenness_sql("both_ways", "central")},
+top AS (SELECT node FROM (SELECT node, round(betweenness, 12) AS b, degree FROM central) ORDER BY b DESC, degree DESC, node LIMIT 40),
+inner_edges AS (SELECT src, dst, weight FROM edges WHERE src IN (SELECT node FROM top) AND dst IN (SELECT node FROM top)),
+near AS (SELECT src AS a, dst AS b FROM inner_edges UNION ALL SELECT dst, src FROM inner_edges),
+reach AS (SELECT a AS s, a AS t FROM near UNION SELECT r.s, b.b FROM reach r JOIN near b ON b.a = r.t),
+comp AS (SELECT s AS node, min(t) AS component FROM reach GROUP BY 1),
+largest AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+held AS (SELECT * FROM inner_edges WHERE src IN (SELECT node FROM comp WHERE component = (SELECT component FROM largest))),
+kept AS (SELECT src, dst, weight, 0.6 + ln(1 + weight) AS width FROM held WHERE weight >= (SELECT quantile_cont(weight, 0.5) FROM held)),
+shown AS (SELECT src AS a, dst AS b FROM kept UNION ALL SELECT dst, src FROM kept)"""
+
+
+@query("network_view", f"""{_VIEW}, {_betweenness_sql("shown", "again")}, placed AS (SELECT node, betweenness, row_number() OVER (ORDER BY round(betweenness, 12) DESC, node) AS rank, count(*) OVER () AS n FROM again)
+SELECT node, round(betweenness, 9) AS betweenness, CAST(rank AS INTEGER) AS rank, round(CASE WHEN n > 1 THEN 400 + (rank - 1) * 1800.0::DOUBLE / (n - 1) ELSE 400.0 END, 6) AS size, rank <= 12 AS label FROM placed""")
 def _(spark, sf):
     edges = cut(supplier_edges(spark, sf))
-    return op.network_view(edges, op.network_summary(edges))[0]
+    return op.network_view(edges, op.network_summary(edges))[0].withColumns({"betweenness": F.round("betweenness", 9), "size": F.round("size", 6)})
 
 
-@query("network_view_edges")
+@query("network_view_edges", f"{_VIEW} SELECT src, dst, weight, round(width, 9) AS width FROM kept")
 def _(spark, sf):
     edges = cut(supplier_edges(spark, sf))
-    return op.network_view(edges, op.network_summary(edges))[1]
+    return op.network_view(edges, op.network_summary(edges))[1].withColumn("width", F.round("width", 9))
 
 
 @query("text_network")
 def _(spark, sf):
-    return op.eda_network(articles(spark, sf), sample_n=None, min_cooccurrences=2, chars=None)[1]
+    return op.eda_network(articles(spark, sf), sample_n=None, min_cooccurrences=2, chars=None, extractor=op.named_entities())[1]
 
 
 @query("first_mover", """SELECT user_id AS narrative, first(event_type ORDER BY ts, event_id) AS originator, min(ts) AS first_ts, count(DISTINCT event_type) - 1 AS amplifiers, count(*) AS mentions
@@ -408,11 +449,44 @@ def _(spark, sf):
     return op.amplifier_lags(e, "narrative", "actor")
 
 
+#: Each mention follows the latest one by another actor in the seven days before it.
+_LINKS = """links AS (
+  SELECT m.user_id AS narrative, m.event_id AS id, m.event_type AS actor, m.ts, arg_max(p.event_id, (p.ts, p.event_id)) AS parent FROM events m
+  LEFT JOIN events p ON p.user_id = m.user_id AND p.event_type <> m.event_type AND (p.ts < m.ts OR p.ts = m.ts AND p.event_id < m.event_id) AND p.ts >= m.ts - INTERVAL 7 DAY GROUP BY ALL
+)"""
+
+
+def _spread(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "events").select(F.col("user_id").alias("narrative"), F.col("event_type").alias("actor"), "ts", F.col("event_id").alias("mention_id"))
+
+
+@query("predecessors", f"WITH {_LINKS} SELECT narrative, id AS mention_id, coalesce(parent, -1) AS parent FROM links")
+def _(spark, sf):
+    return op.predecessors(_spread(spark, sf)).select("narrative", "mention_id", F.coalesce("parent", F.lit(-1)).alias("parent"))
+
+
+@query("cascades", f"""WITH RECURSIVE {_LINKS}, tree AS (SELECT id, id AS root, 0::BIGINT AS depth FROM links WHERE parent IS NULL UNION ALL SELECT l.id, t.root, t.depth + 1 FROM tree t JOIN links l ON l.parent = t.id),
+levels AS (SELECT root, depth, count(*) AS n FROM tree GROUP BY ALL), wide AS (SELECT root, max(n) AS breadth FROM levels GROUP BY 1)
+SELECT r.narrative, t.root, r.actor AS originator, r.ts AS started, count(*) AS size, max(t.depth) AS depth, any_value(w.breadth) AS breadth, count(DISTINCT l.actor) AS actors
+FROM tree t JOIN links l ON l.id = t.id JOIN links r ON r.id = t.root JOIN wide w ON w.root = t.root GROUP BY 1, 2, 3, 4""")
+def _(spark, sf):
+    return op.cascades(_spread(spark, sf))
+
+
+def _stream_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 @query("streaming_daily_volume", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS count FROM events GROUP BY 1, 2")
 def _(spark, sf):
-    # The whole table in one micro-batch: results are complete once the stream has ended.
-    name = "streaming_daily_volume"
-    counts = tumbling_volumes(read_event_stream(spark, sf))
-    run = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("date").alias("day"), "event_type", "count")
+    counts = run_to_tables(tumbling_volumes(read_event_stream(spark, sf)), _stream_folder(spark, "volumes"))
+    return counts.select(F.col("start").cast("date").alias("day"), "event_type", "count")
+
+
+@query("streaming_narratives", """WITH o AS (SELECT user_id AS narrative, event_type AS actor, count(*) AS mentions, min(ts) AS joined, arg_min(event_id, (ts, event_id)) AS id FROM events GROUP BY 1, 2),
+f AS (SELECT *, first_value(actor) OVER (PARTITION BY narrative ORDER BY joined, id) AS originator, min(joined) OVER (PARTITION BY narrative) AS began FROM o)
+SELECT narrative, actor, originator, mentions, CAST(epoch_us(joined) - epoch_us(began) AS DOUBLE) / 1e6 AS lag_seconds, CAST(row_number() OVER (PARTITION BY narrative ORDER BY joined, actor) AS INTEGER) AS place FROM f""")
+def _(spark, sf):
+    e = read_event_stream(spark, sf).select(F.col("user_id").alias("narrative"), F.col("event_type").alias("actor"), F.col("event_id").alias("mention_id"), "ts")
+    told = run_to_files(narratives(e), _stream_folder(spark, "narratives"))
+    return latest(told).select("narrative", "actor", "originator", "mentions", "lag_seconds", "place")
