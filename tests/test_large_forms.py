@@ -39,7 +39,8 @@ def numpy_betweenness(pairs):
 @pytest.mark.parametrize("rows, part, edges", [(20_000_000, 20_000, 70), (900, 3, 45), (30, 1, 20)])
 def test_betweenness_in_batches_and_parts(spark, monkeypatch, rows, part, edges):
     monkeypatch.setattr(centrality, "PART", part)
-    monkeypatch.setattr(centrality, "BROADCAST_EDGES", 0 if part < 20_000 else 200_000)
+    for name, small in (("BROADCAST_EDGES", 1_000_000), ("BROADCAST_ROWS", 100_000)):
+        monkeypatch.setattr(centrality, name, 0 if part < 20_000 else small)
     rng = random.Random(edges)
     names = [f"n{i:02d}" for i in range(30 if edges > 20 else 9)]
     pairs = {tuple(sorted(rng.sample(names, 2))) for _ in range(edges)} | {("hub", x) for x in names[: len(names) // 2]}

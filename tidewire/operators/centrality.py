@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut
 
-#: Rows of a batch's searches, edges of a node in one part, and edges that are sent to every task if they are counted to be fewer.
-ROWS, PART, BROADCAST_EDGES = 20_000_000, 20_000, 200_000
+#: Rows of a batch's searches, and edges of a node in one part.
+ROWS, PART = 20_000_000, 20_000
+#: Edges, and rows of a level, that are sent to every task if they are counted to be no more.
+BROADCAST_EDGES, BROADCAST_ROWS = 1_000_000, 100_000
 
 
 def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,26 +43,30 @@ def _along(rows: DataFrame, both: DataFrame, value: str) -> DataFrame:
     return spread.join(both, ["src", "part"]).groupBy("s", F.col("dst").alias("v")).agg(F.sum(value).alias(value), F.first("parts").alias("parts"))
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def _batch(sources: DataFrame, both: DataFrame, per_source: int) -> DataFrame:
     """v, x: what the nodes carry of the shortest paths from the sources (v, parts)."""
     levels = [cut(sources.select(F.col("v").alias("s"), "v", "parts", F.lit(1.0).alias("paths")))]
-    started = seen = levels[0].count()
-    while seen < started * per_source:  # else every node is found: no further level
+    sizes = [levels[0].count()]
+    while sum(sizes) < sizes[0] * per_source:  # else every node is found: no further level
         reached = _along(levels[-1], both, "paths")
-        for before in levels[-2:]:
-            reached = reached.join(before.select("s", "v"), ["s", "v"], "left_anti")
+        for before, n in zip(levels[-2:], sizes[-2:]):
+            reached = reached.join(_small(before.select("s", "v"), n), ["s", "v"], "left_anti")
         level = cut(reached)
-        n = level.count()
-        if not n:
+        if not (n := level.count()):
             break
         levels.append(level)
-        seen += n
+        sizes.append(n)
     carried, done = [], None
     for k in range(len(levels) - 1, 0, -1):
         level = levels[k]
         if done is not None:
+            # Neighbours of a level lie in it or in the ones beside it.
             given = _along(done, both, "share").select("s", "v", F.col("share").alias("given"))
-            level = level.join(given, ["s", "v"], "left")
+            level = level.join(_small(given, sum(sizes[k : k + 3])), ["s", "v"], "left")
         else:
             level = level.withColumn("given", F.lit(0.0))
         own = F.col("paths") * F.coalesce("given", F.lit(0.0))

@@ -5,7 +5,6 @@ A query is a function of (spark, folder of tables). Columns have the same names
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +13,11 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from .. import operators as op
 from ..functions.text import NOISE
-from ..lineage import cut, shared_folder
+from ..lineage import cut, scratch
 from ..operators.keywords import STOP_WORDS
 from ..operators.preprocess import SENTIMENT_COLUMNS
-from ..sources import from_tables
+from ..sources import conform, from_tables, read_articles
+from ..sources.articles import NULL_TOKENS
 from ..streaming import latest, narratives, read_event_stream, run_to_files, run_to_tables, tumbling_volumes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +32,7 @@ SHARED_ORDERS = 2
 # Parts of the SQL side: the articles, and their cleaned text.
 _ARTICLES = """
 raw AS (
-  SELECT d.doc_id AS ord, CAST(d.doc_id AS VARCHAR) AS article_id, d.source AS publication, CAST(e.ts AS DATE) AS day, d.lang AS country,
+  SELECT d.doc_id AS ord, CAST(d.doc_id AS VARCHAR) AS article_id, d.source AS publication, CAST(e.ts AS DATE) AS day, d.lang AS country, CAST(e.user_id AS VARCHAR) AS author, NULL AS link,
     split_part(d.text, chr(10), 1) AS headline, d.text AS text, p.p_type AS source_type, replace(p.p_name, ' ', ', ') AS tags,
     CASE WHEN d.doc_id % 10 = 3 THEN 'n/a' ELSE CAST(d.n_chars AS VARCHAR) END AS circulation, e.event_type AS channel,
     CASE WHEN l.quality = 1 THEN 'Positive' WHEN l.quality = 0 THEN ' negative ' END AS ph,
@@ -86,11 +86,22 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
-@query("null_profile", f"WITH {_ARTICLES} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({s}) AS non_null, count(*) - count({s}) AS nulls FROM a" for c, s in {
-    "ARTICLE_ID": "article_id", "PUBLICATION": "publication", "LOAD_DATE": "day", "COUNTRY": "country", "HEADLINE": "headline", "ARTICLE TEXT": "text", "SOURCE TYPE": "source_type",
+@query("null_profile", f"WITH {_ARTICLES} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", 'string' AS type, count({s}) AS non_null, count(*) - count({s}) AS nulls FROM a" for c, s in {
+    "ARTICLE_ID": "article_id", "PUBLICATION": "publication", "LOAD_DATE": "day", "COUNTRY": "country", "HEADLINE": "headline", "ARTICLE TEXT": "text", "AUTHOR": "author", "LINK": "link", "SOURCE TYPE": "source_type",
     "TAGS": "tags", "CIRCULATION SIZE": "circulation", "CHANNEL": "channel", "Public Health SENTIMENT": "ph", "World Health Leadership SENTIMENT": "wh"}.items()))
 def _(spark, sf):
-    return op.null_profile(from_tables(spark, sf).drop("AUTHOR", "LINK", "_ord")).drop("type")
+    return op.null_profile(from_tables(spark, sf).drop("_ord"))
+
+
+@query("csv_articles", f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS article_id, replace(text, chr(13), '') AS text, source, n_chars, doc_id FROM documents)
+SELECT article_id, md5(CASE WHEN text NOT IN ({', '.join(f"'{t}'" for t in NULL_TOKENS)}) THEN text END) AS text_md5, source AS publication, CASE WHEN doc_id % 10 <> 3 THEN CAST(n_chars AS DOUBLE) END AS circulation FROM d""")
+def _(spark, sf):
+    """The articles, written as a CSV export and read again; carriage returns within quotes aren't told from line feeds by readers."""
+    folder = scratch(spark, "csv")
+    given = from_tables(spark, sf).drop("_ord").withColumn("ARTICLE TEXT", F.replace("ARTICLE TEXT", F.lit("\r"), F.lit("")))
+    given.write.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    read = conform(read_articles(spark, folder))
+    return read.select(F.col("ARTICLE_ID").alias("article_id"), F.md5("`ARTICLE TEXT`").alias("text_md5"), F.col("PUBLICATION").alias("publication"), fn.to_number(F.col("`CIRCULATION SIZE`")).alias("circulation"))
 
 
 @query("preview", "SELECT CAST(doc_id AS VARCHAR) AS article_id, source AS publication FROM documents ORDER BY doc_id LIMIT 5")
@@ -179,6 +190,11 @@ def _(spark, sf):
     return _renamed(op.top_publications(articles(spark, sf)), "publication", "count")
 
 
+@query("top_publications_cut", _count_sql("publication", "publication", 7))
+def _(spark, sf):
+    return _renamed(op.top_publications(articles(spark, sf), 7), "publication", "count")
+
+
 @query("sources_count_avg_circ", f"WITH {_ARTICLES} SELECT publication, count(article_id) AS articles, round(avg(circ), 6) AS avg_circ FROM a GROUP BY 1")
 def _(spark, sf):
     return _renamed(op.sources_count_avg_circ(articles(spark, sf)).withColumn("avg_circ", F.round("avg_circ", 6)), "publication", "articles", "avg_circ")
@@ -208,6 +224,11 @@ def _(spark, sf):
     return _renamed(op.top_tags(articles(spark, sf)), "tag", "count")
 
 
+@query("top_tags_cut", f"WITH {_ARTICLES} SELECT tag, count(article_id) AS count FROM (SELECT article_id, unnest(tags_list) AS tag FROM a) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 9")
+def _(spark, sf):
+    return _renamed(op.top_tags(articles(spark, sf), 9), "tag", "count")
+
+
 @query("overall_sentiment", f"WITH {_ARTICLES} SELECT bin AS overall_bin, count(*) AS count FROM a GROUP BY 1")
 def _(spark, sf):
     return op.overall_sentiment_counts(articles(spark, sf))
@@ -473,13 +494,9 @@ def _(spark, sf):
     return op.cascades(_spread(spark, sf))
 
 
-def _stream_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("streaming_daily_volume", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS count FROM events GROUP BY 1, 2")
 def _(spark, sf):
-    counts = run_to_tables(tumbling_volumes(read_event_stream(spark, sf)), _stream_folder(spark, "volumes"))
+    counts = run_to_tables(tumbling_volumes(read_event_stream(spark, sf)), scratch(spark, "volumes"))
     return counts.select(F.col("start").cast("date").alias("day"), "event_type", "count")
 
 
@@ -488,5 +505,5 @@ f AS (SELECT *, first_value(actor) OVER (PARTITION BY narrative ORDER BY joined,
 SELECT narrative, actor, originator, mentions, CAST(epoch_us(joined) - epoch_us(began) AS DOUBLE) / 1e6 AS lag_seconds, CAST(row_number() OVER (PARTITION BY narrative ORDER BY joined, actor) AS INTEGER) AS place FROM f""")
 def _(spark, sf):
     e = read_event_stream(spark, sf).select(F.col("user_id").alias("narrative"), F.col("event_type").alias("actor"), F.col("event_id").alias("mention_id"), "ts")
-    told = run_to_files(narratives(e), _stream_folder(spark, "narratives"))
+    told = run_to_files(narratives(e), scratch(spark, "narratives"))
     return latest(told).select("narrative", "actor", "originator", "mentions", "lag_seconds", "place")
