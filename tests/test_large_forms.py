@@ -39,26 +39,27 @@ def numpy_betweenness(pairs):
 @pytest.mark.parametrize("rows, part, edges", [(20_000_000, 20_000, 70), (900, 3, 45), (30, 1, 20)])
 def test_betweenness_in_batches_and_parts(spark, monkeypatch, rows, part, edges):
     monkeypatch.setattr(centrality, "PART", part)
-    for name, small in (("BROADCAST_EDGES", 1_000_000), ("BROADCAST_ROWS", 100_000)):
-        monkeypatch.setattr(centrality, name, 0 if part < 20_000 else small)
+    for name, small in (("BROADCAST_EDGES", 1_000_000), ("BROADCAST_ROWS", 100_000), ("EXPANDED", 1_000_000)):
+        monkeypatch.setattr(centrality, name, 10 if part < 20_000 else small)
     rng = random.Random(edges)
     names = [f"n{i:02d}" for i in range(30 if edges > 20 else 9)]
     pairs = {tuple(sorted(rng.sample(names, 2))) for _ in range(edges)} | {("hub", x) for x in names[: len(names) // 2]}
     pairs = {tuple(sorted(p)) for p in pairs}
     df = spark.createDataFrame([(*p, 2) for p in pairs], "src string, dst string, weight long")
-    got = {r["node"]: r["betweenness"] for r in op.betweenness(df, rows).collect()}
     want = numpy_betweenness(pairs)
-    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+    for small in (0, 500_000):
+        got = {r["node"]: r["betweenness"] for r in op.betweenness(df, rows, small).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
 
 
 def test_betweenness_of_apart_and_empty_graphs(spark):
     make = lambda pairs: spark.createDataFrame([(*p, 2) for p in pairs], "src string, dst string, weight long")
     pairs = [("a", "b"), ("b", "c"), ("x", "y"), ("y", "z"), ("z", "w"), ("l", "l")]
-    got = {r["node"]: r["betweenness"] for r in op.betweenness(make(pairs)).collect()}
+    got = {r["node"]: r["betweenness"] for r in op.betweenness(make(pairs), small=0).collect()}
     assert got == pytest.approx(numpy_betweenness(pairs[:-1]))
     assert op.betweenness(make([])).collect() == []
     long = [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(12)]
-    assert {r["node"]: r["betweenness"] for r in op.betweenness(make(long)).collect()} == pytest.approx(numpy_betweenness(long))
+    assert {r["node"]: r["betweenness"] for r in op.betweenness(make(long), small=0).collect()} == pytest.approx(numpy_betweenness(long))
 
 
 def brute_quantile(values, q):

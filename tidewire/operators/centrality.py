@@ -6,25 +6,34 @@ a node passes (1 + its own share) / paths on to the level before, where it is su
 
 Nodes are numbers. The edges of a node of very many are dealt over parts by their other end, and its rows of a search are
 repeated for each part, so no task holds all of a hub. A batch has so many sources that its rows stay near ROWS.
+
+A graph whose edges are counted to be few is sent to the tasks instead, each of which searches from some of the sources. Both ways have equal results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
 
+#: Edges of a graph that is sent to the tasks.
+SMALL = 500_000
 #: Rows of a batch's searches, and edges of a node in one part.
 ROWS, PART = 20_000_000, 20_000
+#: A level that a task would expand to more rows than this, on average, is dealt anew: levels are small beside what they lead to.
+EXPANDED = 1_000_000
 #: Edges, and rows of a level, that are sent to every task if they are counted to be no more.
 BROADCAST_EDGES, BROADCAST_ROWS = 1_000_000, 100_000
 
 
-def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, id, parts) and both directions of edges (src, part, dst, parts: of dst)."""
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Nodes (node, id, parts), both directions of edges (src, part, dst, parts: of dst), and their number."""
     ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))
     parts = F.ceil(F.count(F.lit(1)) / PART).cast("int")
     nodes = cut(ends.groupBy("node").agg(parts.alias("parts")).withColumn("id", F.monotonically_increasing_id()))
@@ -33,12 +42,21 @@ def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = edges.select("src", "dst").join(a, "src").join(z, "dst")
     both = one.select("a", "a_parts", "z", "z_parts").union(one.select("z", "z_parts", "a", "a_parts")).toDF("src", "src_parts", "dst", "parts")
     part = F.pmod(F.xxhash64("dst"), F.col("src_parts")).cast("int")
-    both = cut(both.select("src", part.alias("part"), "dst", "parts"))
-    return nodes, F.broadcast(both) if both.count() <= BROADCAST_EDGES else both
-
-
-def _along(rows: DataFrame, both: DataFrame, value: str) -> DataFrame:
-    """rows (s, v, parts, value) moved to all neighbours and summed there: s, v, parts, value."""
+    if nodes.where("parts > 1").isEmpty():
+        both = both.select("src", "dst")  # no hub: nothing is spread
+    else:
+        both = both.select("src", part.alias("part"), "dst", "parts")
+    both = cut(both)
+    return nodes, both, both.count()
+
+
+def _along(rows: DataFrame, n: float, both: DataFrame, value: str) -> DataFrame:
+    """rows (s, v, parts, value) moved to all neighbours, about n, and summed there: s, v, parts, value."""
+    if n > EXPANDED:
+        rows = rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(n // EXPANDED // 10)), "s", "v")
+    if "part" not in both.columns:
+        sums = rows.select("s", F.col("v").alias("src"), value).join(both, "src").groupBy("s", F.col("dst").alias("v")).agg(F.sum(value).alias(value))
+        return sums.withColumn("parts", F.lit(1))
     spread = rows.select("s", F.col("v").alias("src"), value, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     return spread.join(both, ["src", "part"]).groupBy("s", F.col("dst").alias("v")).agg(F.sum(value).alias(value), F.first("parts").alias("parts"))
 
@@ -47,12 +65,12 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _batch(sources: DataFrame, both: DataFrame, per_source: int) -> DataFrame:
-    """v, x: what the nodes carry of the shortest paths from the sources (v, parts)."""
+def _batch(sources: DataFrame, both: DataFrame, per_source: int, degree: float) -> DataFrame:
+    """v, x: what the nodes, of such a mean degree, carry of the shortest paths from the sources (v, parts)."""
     levels = [cut(sources.select(F.col("v").alias("s"), "v", "parts", F.lit(1.0).alias("paths")))]
     sizes = [levels[0].count()]
     while sum(sizes) < sizes[0] * per_source:  # else every node is found: no further level
-        reached = _along(levels[-1], both, "paths")
+        reached = _along(levels[-1], sizes[-1] * degree, both, "paths")
         for before, n in zip(levels[-2:], sizes[-2:]):
             reached = reached.join(_small(before.select("s", "v"), n), ["s", "v"], "left_anti")
         level = cut(reached)
@@ -65,7 +83,7 @@ def _batch(sources: DataFrame, both: DataFrame, per_source: int) -> DataFrame:
         level = levels[k]
         if done is not None:
             # Neighbours of a level lie in it or in the ones beside it.
-            given = _along(done, both, "share").select("s", "v", F.col("share").alias("given"))
+            given = _along(done, sizes[k + 1] * degree, both, "share").select("s", "v", F.col("share").alias("given"))
             level = level.join(_small(given, sum(sizes[k : k + 3])), ["s", "v"], "left")
         else:
             level = level.withColumn("given", F.lit(0.0))
@@ -76,14 +94,65 @@ def _batch(sources: DataFrame, both: DataFrame, per_source: int) -> DataFrame:
     return cut(reduce(DataFrame.unionByName, carried, none).groupBy("v").agg(F.sum("x").alias("x")))
 
 
-def betweenness(edges: DataFrame, rows: int = ROWS) -> DataFrame:
-    """node, betweenness: unweighted, ends left out, divided by (n - 1)(n - 2); 0 where n <= 2. Edges (src, dst), each once; loops don't count."""
-    nodes, both = _numbered(edges.where("src <> dst"))
-    n = nodes.count()
+def _dependencies(first: np.ndarray, to: np.ndarray, source: int) -> np.ndarray:
+    """What each node carries of the shortest paths from one source, a level at a time. Node v's neighbours are to[first[v]:first[v + 1]]."""
+    n = len(first) - 1
+    far, paths, carried = np.full(n, -1), np.zeros(n), np.zeros(n)
+    far[source], paths[source] = 0, 1.0
+    level, steps = np.array([source]), []
+    while len(level):
+        size = first[level + 1] - first[level]
+        u = np.repeat(level, size)
+        w = to[np.arange(len(u)) + np.repeat(first[level] - np.cumsum(size) + size, size)]
+        new = far[w] < 0
+        u, w = u[new], w[new]
+        paths += np.bincount(w, paths[u], n)
+        level = np.unique(w)
+        far[level] = len(steps) + 1
+        steps.append((u, w))
+    for u, w in reversed(steps):
+        carried += np.bincount(u, paths[u] / paths[w] * (1 + carried[w]), n)
+    carried[source] = 0.0
+    return carried
+
+
+def _in_tasks(both: DataFrame) -> DataFrame:
+    """v, x: by tasks that have all edges and deal the sources among them."""
+    spark = both.sparkSession
+    rows = both.select("src", "dst").toArrow()
+    ids, ends = np.unique(np.stack([rows["src"].to_numpy(), rows["dst"].to_numpy()], 1), return_inverse=True)
+    ends, n = ends.reshape(-1, 2), len(ids)
+    first = np.concatenate([[0], np.cumsum(np.bincount(ends[:, 0], minlength=n))])
+    told = spark.sparkContext.broadcast((ids, first, ends[np.argsort(ends[:, 0], kind="stable"), 1]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, first, to = told.value
+        sums = np.zeros(len(ids))
+        for b in batches:
+            for source in b["id"]:
+                sums += _dependencies(first, to, source)
+        some = np.flatnonzero(sums)
+        yield pd.DataFrame({"v": ids[some], "x": sums[some]})
+
+    tasks = max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return spark.range(0, n, 1, tasks).mapInPandas(run, "v long, x double")
+
+
+def _by_joins(nodes: DataFrame, both: DataFrame, n: int, directed: int, rows: int) -> DataFrame:
+    """v, x: by searches that are joins, in batches of sources."""
+    both = F.broadcast(both) if directed <= BROADCAST_EDGES else both
     batches = -(-n * n // rows) or 1
     sources = nodes.select(F.col("id").alias("v"), "parts", F.pmod(F.xxhash64("id"), F.lit(batches)).alias("batch"))
-    sums = [_batch(sources.where(F.col("batch") == k).drop("batch"), both, n) for k in range(batches)] if n > 2 else []
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    none = sources.select("v", F.lit(0.0).alias("x")).limit(0)
-    total = reduce(DataFrame.unionByName, sums, none).groupBy("v").agg((F.sum("x") * scale).alias("x"))
+    sums = [_batch(sources.where(F.col("batch") == k).drop("batch"), both, n, directed / n) for k in range(batches)]
+    return reduce(DataFrame.unionByName, sums)
+
+
+def betweenness(edges: DataFrame, rows: int = ROWS, small: int = SMALL) -> DataFrame:
+    """node, betweenness: unweighted, ends left out, divided by (n - 1)(n - 2); 0 where n <= 2. Edges (src, dst), each once; loops don't count."""
+    nodes, both, directed = _numbered(edges.where("src <> dst"))
+    n = nodes.count()
+    if n <= 2:
+        return nodes.select("node", F.lit(0.0).alias("betweenness"))
+    sums = _in_tasks(both) if directed <= 2 * small else _by_joins(nodes, both, n, directed, rows)
+    total = sums.groupBy("v").agg((F.sum("x") * (1.0 / ((n - 1) * (n - 2)))).alias("x"))
     return nodes.join(total, F.col("id") == F.col("v"), "left").select("node", F.coalesce("x", F.lit(0.0)).alias("betweenness"))

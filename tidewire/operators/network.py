@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from .centrality import betweenness
+from .centrality import SMALL, betweenness
 from .quantiles import quantile
 #: Names of a document that meet in one task, about.
 BLOCK = 500
@@ -62,9 +62,9 @@ def _near(c: str) -> Column:
     return F.round(c, 12)
 
 
-def network_summary(edges: DataFrame) -> DataFrame:
-    """node, degree, betweenness; most central first."""
-    return degrees(edges).join(betweenness(edges), "node").select("node", "degree", "betweenness").orderBy(F.desc(_near("betweenness")), F.desc("degree"), "node")
+def network_summary(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """node, degree, betweenness; most central first. small: up to how many edges betweenness() sends the graph to the tasks."""
+    return degrees(edges).join(betweenness(edges, small=small), "node").select("node", "degree", "betweenness").orderBy(F.desc(_near("betweenness")), F.desc("degree"), "node")
 
 
 def eda_network(df: DataFrame, sample_n: int | None = 2000, min_cooccurrences: int = 2, extractor: Callable[[Column], Column] = capitalised_spans, text_col: str = "ARTICLE_TEXT_CLEAN", order: str = "_ord", chars: int | None = 2000) -> tuple[DataFrame, DataFrame]:

@@ -401,11 +401,12 @@ def _(spark, sf):
     return op.degrees(part_edges(spark, sf))
 
 
-for _name, _key in (("network_summary", "l_suppkey"), ("part_network_summary", "l_partkey")):
+# The second by joins whatever its size, so that both forms are held against the same SQL.
+for _name, _key, _small in (("network_summary", "l_suppkey", op.SMALL), ("part_network_summary", "l_partkey", 0)):
 
     @query(_name, f"WITH {_edges_sql(_key)}, {_betweenness_sql('both_ways', 'central')} SELECT node, degree, round(betweenness, 9) AS betweenness FROM central")
-    def _(spark, sf, key=_key):
-        return op.network_summary(cut(together(spark, sf, key))).withColumn("betweenness", F.round("betweenness", 9))
+    def _(spark, sf, key=_key, small=_small):
+        return op.network_summary(cut(together(spark, sf, key)), small).withColumn("betweenness", F.round("betweenness", 9))
 
 
 _COMPONENTS = f"""WITH RECURSIVE {_EDGES}, r AS (SELECT node AS s, node AS t FROM nodes UNION SELECT r.s, b.b FROM r JOIN both_ways b ON b.a = r.t),
