@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -328,7 +329,59 @@ def test_license_spans_of_every_place():
     begin = [sum(len(plain_words(p)) for p in parts[:k]) for k in range(len(parts))]
     for label, places in (("mit", (1, 5, 6)), ("bsd", (3,))):
         want = [(begin[k], begin[k] + len(plain_words(parts[k]))) for k in places]
-        assert sorted((x["start"], x["end"]) for x in spans if x["label"] == label and x["cover"] == 1) == want
+        assert sorted((x["start"], x["end"]) for x in spans if x["template"] == label and x["cover"] == 1) == want
+
+
+def plain_spans(found):
+    """Chains by trying each match after each other one, again after each cut, in the stretches between what is cut."""
+    parts, out = [found], []
+    while parts:
+        tops = []
+        for n, part in enumerate(parts):
+            best = []
+            for i, (a, b, at) in enumerate(part):
+                top, first = b - a, a
+                for (pa_, pb, pat), (words, begin) in zip(part, best):
+                    own = min(b - max(a, pb), at - max(at - (b - a), pat))
+                    if own > 0 and pa_ < a and a - pb <= licenses.MAX_GAP and at - (b - a) - pat <= licenses.MAX_GAP and words + own > top:
+                        top, first = words + own, begin
+                best.append((top, first))
+                tops.append((-top, a, b, at, n, first))
+        top, _, end, _, n, start = min(tops)
+        out.append((-top, start, end))
+        part = parts.pop(n)
+        parts[n:n] = [p for p in ([x for x in part if x[1] <= start], [x for x in part if x[0] >= end]) if p]
+    return out
+
+
+def test_license_spans_against_brute_force(monkeypatch):
+    monkeypatch.setattr(licenses, "MAX_GAP", 6)
+    monkeypatch.setattr(licenses, "MIN_MATCH", 2)
+    rng = random.Random(12)
+    for size in range(120):
+        letters = "abcde"[: rng.randrange(2, 6)]
+        s = licenses.Scanner({f"t{k}": " ".join(rng.choice(letters) for _ in range(rng.randrange(3, 30))) for k in range(3)}, {"a b": "x"})
+        w = [rng.choice(letters + "z") for _ in range(size)]
+        got = s.scan(" ".join(w).encode())
+        ids = licenses.np.array([s.number.get(x.encode(), -1) for x in w], dtype=licenses.np.int64)
+        by, seen = {}, []
+        for a, b, state in s.matches(ids)[1]:
+            for k, end in sorted(s.auto.ends[state]):
+                if k < 3:
+                    by.setdefault(k, []).append((a, b, end + 1))
+        for k, found in by.items():
+            seen += [(f"t{k}", words / s.sizes[k], a, b) for words, a, b in plain_spans(found)]
+        assert sorted((x["template"], x["cover"], x["start"], x["end"]) for x in got["spans"]) == sorted((t, min(1.0, c), a, b) for t, c, a, b in seen)
+        assert got["score"] == (1.0 if got["n_base"] else max([0.0, *(min(1.0, c) for _, c, _, _ in seen)]))
+        assert got["labels"] == ",".join(sorted({t for t, c, _, _ in seen if c >= licenses.MIN_COVER} | ({"x"} if got["n_base"] else set())))
+
+
+def test_license_scan_of_repeats_takes_linear_time():
+    s = licenses.Scanner(licenses.TEMPLATES, licenses.PHRASES)
+    for unit in (b"sublicense and or sell qq. ", b"copies of the software ", b"the software is provided ", licenses.TEMPLATES["mit/whole"].encode() + b" "):
+        began = time.perf_counter()
+        spans = s.scan(unit * (120_000 // len(unit)))["spans"]
+        assert spans and time.perf_counter() - began < 20
 
 
 def test_suffix_automaton():

@@ -4,7 +4,8 @@ Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z in lower
 all templates and phrases; at each word it holds the longest stretch ending there that occurs in any of them. A phrase ends
 at a word if its state lies on the suffix path of the word's state. Matches that can't be extended and have `MIN_MATCH`
 words or more are chained, in order of text and template and with bounded gaps, into spans; a template covered to
-`MIN_COVER` of its words gives its label. The score is the largest covered share of any template or phrase.
+`MIN_COVER` of its words gives its label. Chains are cut from one table, the best first, so the work grows with the text however
+often licences repeat. The score is the largest covered share of any template or phrase.
 
 Defined results: a null or empty text has no words, no labels and score 0. Repeated rows get a row each; an empty table gives
 none. Other columns aren't looked at. A text of any length is read once, in memory for its words.
@@ -12,6 +13,9 @@ none. Other columns aren't looked at. A text of any length is read once, in memo
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from heapq import heappop, heappush
 from itertools import repeat
 
 import numpy as np
@@ -29,7 +33,7 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Opening or operative parts of well-known licences.
+#: Opening or operative parts of well-known licences, and whole texts of short ones; the label is what stands before a slash.
 TEMPLATES = {
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
@@ -41,6 +45,11 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/",
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "mit/whole": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "bsd/whole": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "isc/whole": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "zlib/whole": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "unlicense/whole": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
 }
 MIN_MATCH, MIN_COVER, MAX_GAP = 4, 0.5, 40
 
@@ -97,6 +106,58 @@ class SuffixAutomaton:
         return s
 
 
+class Chains:
+    """Chains of a template's matches (start, end, end in the template), which begin and end in rising order.
+
+    Matches chain in order of text and template, no further apart than MAX_GAP words in either. A table holds for each match
+    the words that the best chain ending there covers, and that chain's first match. The best chain of the table is cut
+    from the text; matches that overlap it go, and no other chain passes over it. So only entries behind it can change, as far
+    as a chain of lost matches reached. A match looks back MAX_GAP words, and a chain has no more matches than its template
+    has words: the work grows with the matches, however many chains there are.
+    """
+
+    def __init__(self, found: list[tuple[int, int, int]]):
+        self.found = found
+        self.starts, self.ends = [a for a, _, _ in found], [b for _, b, _ in found]
+        self.low = [bisect_left(self.ends, a - MAX_GAP) for a in self.starts]
+        self.best: list[tuple[int, int] | None] = [None] * len(found)
+        self.gone = bytearray(len(found))
+        self.heap: list[tuple[int, int]] = []
+
+    def fill(self, base: int) -> None:
+        """Entries from base on, where matches before base are out of reach, until nothing that changed is in reach."""
+        found, best, changed = self.found, self.best, base
+        for i in range(base, len(found)):
+            if self.gone[i] or (best[i] is not None and self.low[i] >= changed):
+                return
+            a, b, at = found[i]
+            begin = at - (b - a)
+            top, first = b - a, i
+            for j in range(max(self.low[i], base), i):
+                pa_, pb, pat = found[j]
+                if pa_ < a and begin - pat <= MAX_GAP:
+                    words_ = best[j][0] + min(b - max(a, pb), at - max(begin, pat))
+                    if words_ > top and b > pb and at > pat:
+                        top, first = words_, best[j][1]
+            if (top, first) != best[i]:
+                if best[i] is None or best[i][0] != top:
+                    heappush(self.heap, (-top, i))
+                best[i], changed = (top, first), i + 1
+
+    def cut(self) -> Iterator[tuple[int, int, int]]:
+        """Words covered, start and end of the best chain, then of the best of what is left, to the last."""
+        self.fill(0)
+        while self.heap:
+            cover, i = heappop(self.heap)
+            if self.gone[i] or self.best[i][0] != -cover:
+                continue
+            start, end = self.starts[self.best[i][1]], self.ends[i]
+            yield -cover, start, end
+            low, high = bisect_right(self.ends, start), bisect_left(self.starts, end)
+            self.gone[low:high] = b"\1" * (high - low)
+            self.fill(high)
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], phrases: dict[str, str]):
         texts = [*templates.values(), *phrases]
@@ -148,37 +209,17 @@ class Scanner:
         return places, long
 
     def chains(self, long: list[tuple[int, int, int]]) -> list[dict]:
-        """Chains of each template, best first and without overlap: matches in order in both, no further apart than MAX_GAP words."""
+        """Spans of each template, no two of one template over the same words."""
         by: dict[int, list[tuple[int, int, int]]] = {}
         for a, b, s in long:
-            for k, end in self.auto.ends[s]:
+            for k, end in sorted(self.auto.ends[s]):
                 if k < len(self.labels):
                     by.setdefault(k, []).append((a, b, end + 1))
         out = []
         for k, found in by.items():
-            while found:
-                cover, start, end = self._best(found, self.sizes[k])
-                out.append({"label": self.labels[k], "start": start, "end": end, "cover": min(1.0, cover / self.sizes[k])})
-                found = [x for x in found if x[1] <= start or x[0] >= end]
-        return sorted(out, key=lambda x: (-x["cover"], x["start"], x["label"]))
-
-    @staticmethod
-    def _best(found: list[tuple[int, int, int]], size: int) -> tuple[int, int, int]:
-        """Words covered, start and end of the best chain of a template of that size."""
-        best: list[tuple[int, int]] = []  # words covered, first match
-        low = 0
-        for i, (a, b, at) in enumerate(found):
-            top, first = b - a, i
-            while found[low][1] < a - MAX_GAP - size:
-                low += 1
-            for j in range(low, i):
-                pa_, pb, pat = found[j]
-                own = min(b - max(a, pb), at - max(at - (b - a), pat))
-                if own > 0 and pa_ < a and a - pb <= MAX_GAP and at - (b - a) - pat <= MAX_GAP and best[j][0] + own > top:
-                    top, first = best[j][0] + own, best[j][1]
-            best.append((top, first))
-        last = max(range(len(found)), key=lambda i: best[i][0])
-        return best[last][0], found[best[last][1]][0], found[last][1]
+            for cover, start, end in Chains(found).cut():
+                out.append({"label": self.labels[k].split("/")[0], "start": start, "end": end, "cover": min(1.0, cover / self.sizes[k]), "template": self.labels[k]})
+        return sorted(out, key=lambda x: (-x["cover"], x["start"], x["template"]))
 
     def scan(self, text: bytes) -> dict:
         w = words(text)
@@ -192,8 +233,8 @@ class Scanner:
         return {"n_words": len(w), "n_base": len(places), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": ",".join(base), "labels": ",".join(sorted({*base, *own})), "score": score, "spans": spans}
 
 
-RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,end:long,cover:double>>"
-KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cover", pa.float64())]))]
+RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,end:long,cover:double,template:string>>"
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cover", pa.float64()), ("template", pa.string())]))]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
