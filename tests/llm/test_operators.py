@@ -171,6 +171,25 @@ def brute_hits(text, items, window=13):
     return len(w), hit, sorted(found)
 
 
+def test_windows_against_plain_search(monkeypatch):
+    monkeypatch.setattr(decontaminate, "PLACES_AT_ONCE", 7)
+    rng = random.Random(31)
+    for _ in range(400):
+        letters, window = "abcde"[: rng.randrange(1, 6)], rng.choice([1, 2, 4, 5, 6, 13])
+        items = [(f"i{rng.randrange(4)}", [rng.choice(letters) for _ in range(rng.randrange(0, 30))]) for _ in range(rng.randrange(0, 6))]
+        w = [rng.choice(letters + "z") for _ in range(rng.randrange(0, 50))] + [x for _, ws in items[:2] for x in ws]
+        hit, names = set(), set()
+        for name, ws in items:
+            for part in {tuple(ws[i : i + window]) for i in range(max(1, len(ws) - window + 1) if ws else 0)}:
+                at = [i for i in range(len(w)) if tuple(w[i : i + len(part)]) == part]
+                hit |= {j for i in at for j in range(i, i + len(part))}
+                names |= {name} if at else set()
+        patterns = decontaminate.automaton([(name, " ".join(ws).encode()) for name, ws in items], window)
+        n, n_hit, found, runs, _ = decontaminate.scan_text(" ".join(w).upper().encode(), patterns)
+        assert (n, n_hit, found) == (len(w), len(hit), sorted(names))
+        assert {j for r in runs for j in range(r["start"], r["end"])} == hit
+
+
 @pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 200])
 def test_decontamination(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the windows of normalised test items, one scan of each text.
+"""Benchmark decontamination: one Aho-Corasick automaton over normalised test items, one scan of each text.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z in lower case. A window is `window` consecutive words of
 an item; a shorter item with at least one word is a window as a whole. Texts are handled as UTF-8 bytes: normalising maps
@@ -28,48 +28,115 @@ from .shingles import slices
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 STRETCHES = "array<struct<start:int,end:int>>"
 SCHEMA = f"id {{kind}}, n_words long, n_hit long, items array<string>, runs {STRETCHES}, spans {STRETCHES}"
-#: One automaton holds items of so many bytes at most; a larger benchmark is scanned for in blocks of this size. Windows overlap,
-#: so that an automaton takes some 500 bytes for each of them: 0.4 GB of a worker's memory here were measured.
-BLOCK_BYTES = 500_000
+#: Words of a pattern of the automaton; pairs of its places in text and items that are looked at in one go.
+SEED, PLACES_AT_ONCE = 5, 1 << 20
+#: One automaton holds items of so many bytes at most, for which it was measured to take 0.46 GB of a worker; a larger benchmark is
+#: scanned for in blocks of this size.
+BLOCK_BYTES = 20_000_000
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def automaton(items: list[tuple[str, bytes]], window: int) -> ahocorasick.Automaton | None:
-    """Of the windows; each has its number of words and the items it comes from."""
-    found: dict[str, tuple[int, set[str]]] = {}
-    for item, text in items:
-        w = words(text)
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            part = w[i : i + window]
-            found.setdefault(f" {b' '.join(part).decode('latin-1')} ", (len(part), set()))[1].add(item)
-    if not found:
-        return None
-    out = ahocorasick.Automaton()
-    for key, (n, ids) in found.items():
-        out.add_word(key, (n, tuple(ids)))
-    out.make_automaton()
-    return out
-
-
-def scan_text(text: bytes, patterns: ahocorasick.Automaton | None) -> tuple[int, int, list[str], list[dict], list[dict]]:
+class Patterns:
+    """The automaton of the items, of which there are some with words.
+
+    Words of items are numbered, and the automaton reads a number as digits, each place with an alphabet of its own, so a pattern is found
+    at words alone and no state has many steps. Its patterns are SEED words in every `stride` of an item: any window holds one of
+    them, whole. Where one is found, the words around it are held against the item's at all places that have it, up to a window's
+    reach; a stretch as long as a window is one, or several. So the automaton takes less than the items' words, not 13 times them.
+    """
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+        self.names = [name for name, _ in items]
+        sizes = np.array([len(w) for _, w in items])
+        self.number = {w: k for k, w in enumerate(dict.fromkeys(w for _, ws in items for w in ws), 1)}
+        #: All items one after the other, each behind a -1; the ends are padded, so that no place is out of bounds.
+        self.pad = window
+        self.starts = np.cumsum(np.concatenate([[0], sizes[:-1] + 1])) + window
+        self.words = np.full(self.starts[-1] + sizes[-1] + window, -1, np.int32)
+        for at, (_, ws) in zip(self.starts, items):
+            self.words[at : at + len(ws)] = [self.number[w] for w in ws]
+        self.least = np.minimum(sizes, window)
+        base = 64
+        self.digits = next(d for d in itertools.count(1) if base**d > len(self.number))
+        places = np.arange(len(self.number) + 1)[:, None] // base ** np.arange(self.digits) % base + base * np.arange(self.digits)
+        if self.digits > 4:
+            raise ValueError("over 16 million different words in a block of items")
+        self.code = places.astype(np.uint8)
+        seed = min(SEED, window)
+        stride = window - seed + 1
+        self.reach = window - seed
+        found: dict[bytes, list[int]] = {}
+        for at, n in zip(self.starts.tolist(), sizes.tolist()):
+            length = min(seed, n)
+            for i in range(at, at + (n - length if n >= window else 0) + 1, stride):
+                found.setdefault(self.words[i : i + length].tobytes(), []).append(i)
+        self.auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, key in enumerate(found):
+            self.auto.add_word(self._coded(np.frombuffer(key, np.int32)), k)
+        self.auto.make_automaton()
+        self.size = np.array([len(key) // 4 for key in found])
+        #: Where each pattern stands in the items.
+        self.first = np.cumsum([0, *map(len, found.values())])
+        self.places = np.concatenate([np.array(x, np.int32) for x in found.values()])
+
+    def _coded(self, numbers: np.ndarray) -> str:
+        return self.code[numbers].tobytes().decode("latin-1")
+
+    def hits(self, w: list[bytes]) -> tuple[np.ndarray, list[str]] | None:
+        """Whether each word is hit, and the items; None where nothing is."""
+        text = np.zeros(len(w) + 2 * self.pad, np.int32)
+        text[self.pad : self.pad + len(w)] = np.fromiter(map(self.number.get, w, itertools.repeat(0)), np.int32, len(w))
+        found = list(self.auto.iter(self._coded(text[self.pad : self.pad + len(w)])))
+        if not found:
+            return None
+        end, seed = np.array(found).T
+        at = (end + 1) // self.digits - self.size[seed] + self.pad
+        many = self.first[seed + 1] - self.first[seed]
+        step, items, a = np.zeros(len(text) + 1, np.int64), set(), 0
+        total = np.cumsum(many)
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + PLACES_AT_ONCE)))
+            self._extended(text, np.repeat(at[a:b], many[a:b]), np.repeat(seed[a:b], many[a:b]), many[a:b], step, items)
+            a = b
+        if not items:
+            return None
+        return np.cumsum(step)[self.pad : self.pad + len(w)] > 0, sorted({self.names[k] for k in items})
+
+    def _extended(self, text: np.ndarray, at: np.ndarray, seed: np.ndarray, many: np.ndarray, step: np.ndarray, items: set[int]) -> None:
+        """Adds what the patterns at these words of the text, each with all its places in the items, grow to."""
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+        place = self.places[self.first[seed] + nth]
+        last = self.size[seed] - 1
+        left, right = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for grown, x, y, way in ((left, at, place, -1), (right, at + last, place + last, 1)):
+            same = np.arange(len(at))
+            for k in range(1, self.reach + 1):
+                same = same[text[x[same] + way * k] == self.words[y[same] + way * k]]
+                if not len(same):
+                    break
+                grown[same] = k
+        item = np.searchsorted(self.starts, place, "right") - 1
+        whole = left + last + 1 + right >= self.least[item]
+        np.add.at(step, (at - left)[whole], 1)
+        np.add.at(step, (at + last + right + 1)[whole], -1)
+        items.update(np.unique(item[whole]).tolist())
+
+
+def automaton(items: list[tuple[str, bytes]], window: int) -> Patterns | None:
+    several = [(name, w) for name, w in ((name, words(text)) for name, text in items) if w]
+    return Patterns(several, window) if several else None
+
+
+def scan_text(text: bytes, patterns: Patterns | None) -> tuple[int, int, list[str], list[dict], list[dict]]:
     """Number of words, hit words, items, and the hit stretches as word numbers and as code point offsets of the original text."""
     w = words(text)
-    if not w or patterns is None:
+    found = patterns.hits(w) if w and patterns is not None else None
+    if found is None:
         return len(w), 0, [], [], []
-    normal = f" {b' '.join(w).decode('latin-1')} "
-    found = list(patterns.iter(normal))
-    if not found:
-        return len(w), 0, [], [], []
-    spaces = np.flatnonzero(np.frombuffer(normal.encode("latin-1"), np.uint8) == 32)
-    last = np.searchsorted(spaces, [end for end, _ in found]) - 1
-    size = np.array([n for _, (n, _) in found])
-    step = np.zeros(len(w) + 1, np.int64)
-    np.add.at(step, last - size + 1, 1)
-    np.add.at(step, last + 1, -1)
-    hit = np.cumsum(step[:-1]) > 0
+    hit, items = found
     raw = np.frombuffer(text.translate(NORMAL), np.uint8) != 32
     edge = np.diff(np.concatenate([[0], raw.view(np.int8), [0]]))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -77,10 +144,10 @@ def scan_text(text: bytes, patterns: ahocorasick.Automaton | None) -> tuple[int,
     runs = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
     runs = [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(runs == 1), np.flatnonzero(runs == -1))]
     spans = [{"start": int(point[starts[r["start"]]]), "end": int(point[ends[r["end"] - 1]])} for r in runs]
-    return len(w), int(hit.sum()), sorted({x for _, (_, ids) in found for x in ids}), runs, spans
+    return len(w), int(hit.sum()), items, runs, spans
 
 
-_built: dict[tuple[str, int], ahocorasick.Automaton | None] = {}
+_built: dict[tuple[str, int], Patterns | None] = {}
 
 
 def _patterns(told, window: int):
