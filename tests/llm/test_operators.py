@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import changed, documents, frame, prose
-from tidewire.llm import chat, decontaminate, licenses, line_dedup, lm, mixing, quality, set_join, token_store, warc
+from tidewire.llm import chat, decontaminate, licenses, line_dedup, lm, mixing, quality, set_join, shingles, token_store, warc
 from tidewire.llm.components import components
 from tidewire.llm.gru import Gru
 
@@ -523,6 +523,38 @@ def test_jaccard_join(spark, docs, monkeypatch, limit):
         assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
+def test_blocks_of_elements_come_back():
+    rng = np.random.default_rng(4)
+    for parts in (1, 3, 40, 70_000):
+        size = np.array([0, 1, 255, 256, 1000, 3, 0, 2000])
+        h, d = rng.integers(0, 1 << 64, size.sum(), np.uint64), rng.integers(-(1 << 63), 1 << 63, len(size))
+        want, got = Counter(), Counter()
+        for e, own in zip(h.tolist(), np.repeat(d, size).tolist()):
+            want[(e >> 32) * parts >> 32, e & 0xFFFFFFFF, own & ((1 << set_join.DIGEST_BITS) - 1)] += 1
+        for b, block in set_join._packed([(size[:4], h[: size[:4].sum()], d[:4]), (size[4:], h[size[:4].sum() :], d[4:])], parts):
+            e, digest, count = set_join._unpacked(block)
+            got.update((b, x, y) for x, y in zip(e.tolist(), np.repeat(digest, count).tolist()))
+        assert got == want
+
+
+def test_long_texts_behind_short_ones(monkeypatch):
+    rng = random.Random(9)
+    texts = [prose(rng, n).encode() for n in (3, 400, 2, 1, 900, 700, 5, 0)] + [None, b"a b", prose(rng, 300).replace(" ", "\n\t ").encode() + b"  "]
+
+    def each():
+        out = []
+        for a, z, size, h in shingles.shingles(texts):
+            assert z - a == len(size)
+            out += [x.tolist() for x in np.split(h, np.cumsum(size)[:-1])]
+        return out
+
+    want = each()
+    for at_once in (1, 20, 1500, 4000):
+        monkeypatch.setattr(shingles, "AT_ONCE", at_once)
+        assert each() == want
+        assert all(z - a == 1 for a, z in shingles._runs(texts) if max(len(t or b"") for t in texts[a:z]) > at_once)
+
+
 def test_jaccard_join_of_star_copies(spark):
     """Copies that link with what they come from, seldom with each other; and random small sets."""
     rng = random.Random(11)

@@ -38,6 +38,8 @@ from .shingles import digests, shingles, slices
 PERCENT = 80
 #: Elements a task holds before it deals them out; bytes of text for a bucket of elements, which a task holds as a whole.
 HELD, BUCKET_BYTES = 1_000_000, 40_000_000
+#: Bits of a set's digest that go with its elements into buckets: two sets that share elements have the same in one of 2 ** 48 cases.
+DIGEST_BITS = 48
 #: Rows of a batch where sets go to Python, and subsets that a task makes before it hands them on.
 SETS_AT_ONCE, SUBSETS_AT_ONCE = 256, 50_000
 #: Classes up to this number are broadcast to find their documents again, 24 bytes each; more are joined by shuffle.
@@ -57,7 +59,10 @@ def least_shared(n: Column) -> Column:
 
 
 def _packed(kept: list, parts: int):
-    """A block for each bucket: digests, numbers of elements, and the lower halves of the elements in the order of the sets."""
+    """A block for each bucket: DIGEST_BITS of digests, numbers of elements up to 255, and the lower halves of the elements in the order of the sets.
+
+    With many buckets a set has an element or two in each, so what stands before them weighs more than they do: 7 bytes here.
+    """
     size, h, d = (np.concatenate(x) for x in zip(*kept))
     of = np.repeat(np.arange(len(size)), size)
     bucket = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
@@ -68,14 +73,20 @@ def _packed(kept: list, parts: int):
         if n:
             own = of[z - n : z]
             first = np.flatnonzero(np.diff(own, prepend=-1))
-            count = np.diff(np.append(first, n)).astype("<u4")
-            yield b, struct.pack("<Q", len(first)) + d[own[first]].astype("<i8").tobytes() + count.tobytes() + h[z - n : z].tobytes()
+            count = np.diff(np.append(first, n))
+            pieces = -(-count // 255)
+            digest = np.repeat(d[own[first]], pieces)
+            size = np.full(len(digest), 255, "u1")
+            size[np.cumsum(pieces) - 1] = count - 255 * (pieces - 1)
+            digest = (digest & 0xFFFFFFFF).astype("<u4").tobytes() + (digest >> 32 & 0xFFFF).astype("<u2").tobytes()
+            yield b, struct.pack("<Q", len(size)) + digest + size.tobytes() + h[z - n : z].tobytes()
 
 
 def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Elements; digests; numbers of elements of each."""
+    """Elements; digests, lower DIGEST_BITS; numbers of elements of each. A set of over 255 has several entries."""
     (n,) = struct.unpack_from("<Q", block)
-    return np.frombuffer(block, "<u4", -1, 8 + 12 * n), np.frombuffer(block, "<i8", n, 8), np.frombuffer(block, "<u4", n, 8 + 8 * n)
+    digest = np.frombuffer(block, "<u4", n, 8) + (np.frombuffer(block, "<u2", n, 8 + 4 * n).astype(np.int64) << 32)
+    return np.frombuffer(block, "<u4", -1, 8 + 7 * n), digest, np.frombuffer(block, "u1", n, 8 + 6 * n)
 
 
 def _shared_elements(key: np.ndarray, sets: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +96,7 @@ def _shared_elements(key: np.ndarray, sets: np.ndarray, count: np.ndarray) -> tu
     same = key[1:] == key[:-1]
     several = np.append(same, False) | np.insert(same, 0, False)
     # Whose an element is, is looked up for those that occur twice alone.
-    key, d = key[several], sets[np.searchsorted(np.cumsum(count), order[several], "right")]
+    key, d = key[several], sets[np.searchsorted(np.cumsum(count, dtype=np.int64), order[several], "right")]
     order = np.lexsort((d, key))
     key, d = key[order], d[order]
     new = np.ones(len(key), bool)
@@ -97,7 +108,7 @@ def _shared_elements(key: np.ndarray, sets: np.ndarray, count: np.ndarray) -> tu
 
 
 def _dealt(rows: DataFrame, parts: int, kind: str) -> DataFrame:
-    """One pass over the texts: rows (id, n, d1, d2) of documents, and rows (d1, n) of the number of shared elements of a class in a bucket."""
+    """One pass over the texts: rows (id, n, d1, d2) of documents, and rows (d1, n) of the number of shared elements of a class in a bucket, d1 cut to DIGEST_BITS there."""
 
     def cut(batches):
         kept, held, row = [], 0, 0
@@ -295,8 +306,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         both = shared.keep(_dealt(rows, parts, kind), "dealt")
     members = both.where("d2 IS NOT NULL")
     equal = members.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"))
-    counts = both.where("d2 IS NULL").groupBy("d1").agg(F.sum("n").alias("met"))
-    wanted = shared.keep(equal.join(counts, "d1").where(F.col("met") >= least_shared(F.col("n"))).select("id", "d1", "d2", "n"), "wanted")
+    counts = both.where("d2 IS NULL").groupBy("d1").agg(F.sum("n").alias("met")).withColumnRenamed("d1", "low")
+    low = F.col("d1").bitwiseAND(F.lit((1 << DIGEST_BITS) - 1))
+    wanted = shared.keep(equal.join(counts, low == F.col("low")).where(F.col("met") >= least_shared(F.col("n"))).select("id", "d1", "d2", "n"), "wanted")
     with shared.small_batches(spark):
         sets = shared.keep(_ordered(_sets(rows, wanted)), "sets")
     sizes = {r["n"]: r["c"] for r in sets.where(F.col("n") <= 2 * max(LIGHT)).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}  # sizes, of bounded number

@@ -68,6 +68,9 @@ def _long(text: bytes) -> np.ndarray:
 def _runs(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
     first = held = 0
     for i, t in enumerate(texts):
+        if first < i and len(t or b"") > AT_ONCE:  # a long text is a run of its own, whatever stands before it
+            yield first, i
+            first = i
         held += len(t or b"")
         if held >= AT_ONCE or i + 1 == len(texts):
             yield first, i + 1
