@@ -84,7 +84,7 @@ def test_same_as_sql(spark, name):
 
 def test_names():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == [*range(1, 11)] and "pipeline" in entry.queries()
+    assert [int(n[2:].split("_")[0]) for n in names] == [*range(1, 14)] and "pipeline" in entry.queries()
 
 
 def test_rest_works_without_this_folder():
