@@ -248,3 +248,21 @@ def test_rare_names_make_no_pairs_and_a_large_document_is_spread(spark, request)
     everything = network._pairs(network._named(df, 1, "doc_id", "entities")).groupBy(F.spark_partition_id()).count().collect()
     total = sum(r["count"] for r in everything)
     assert total == 4_498_500 + 4950 and max(r["count"] for r in everything) < 0.6 * total
+
+
+def test_betweenness_splits_components(spark, monkeypatch):
+    """Components are searched apart: one that a task cannot hold by joins, the others in tasks, the larger ones in several slices."""
+    clique = [(f"a{i}", f"a{j}") for i in range(12) for j in range(i + 1, 12)]
+    path = [(f"b{i:02d}", f"b{i + 1:02d}") for i in range(15)]
+    wheel = [("c", f"c{i}") for i in range(9)] + [(f"c{i}", f"c{(i + 1) % 9}") for i in range(9)]
+    lollipop = [("d0", "d1"), ("d0", "d2"), ("d1", "d2"), ("d2", "d3"), ("d3", "d4")]
+    pairs = [tuple(sorted(p)) for p in clique + path + wheel + lollipop]
+    monkeypatch.setattr(centrality, "ALONE", 0)
+    monkeypatch.setattr(centrality, "WORK", 20)
+    told = []
+    whole = centrality._in_tasks
+    monkeypatch.setattr(centrality, "_in_tasks", lambda both, deal, tasks: told.append(sorted((r["m"], r["slices"] > 1) for r in both.join(deal, "component").groupBy("component", "slices").count().withColumnRenamed("count", "m").collect())) or whole(both, deal, tasks))
+    df = spark.createDataFrame(pairs, "src string, dst string")
+    got = {r["node"]: r["betweenness"] for r in op.betweenness(df, small=40).collect()}
+    assert told == [[(10, False), (30, True), (36, True)]]
+    assert got == pytest.approx(numpy_betweenness(pairs))
