@@ -118,3 +118,27 @@ def test_many_inner_blanks_are_stripped_at_once(spark):
     text = "a" + " " * 200_000 + "b"
     began = time.time()
     assert one(spark, f" \u3000{text}\x85 ", fn.strip) == text and time.time() - began < 20
+
+
+def test_only_misread_text_is_sent_to_python(spark):
+    """Accented letters side by side are no misread text; all that repaired() changes is looked at, in the middle of ASCII too."""
+    import importlib
+    import random
+
+    repair = importlib.import_module("tidewire.functions.repair")
+    rng = random.Random(5)
+    texts = ["créée à Noël, ñíñó éçê", "plain", "ﬁ e\u0301"]
+    for e in repair.ENCODINGS:
+        for _ in range(60):
+            true = "".join(rng.choice("éñß–’€ąЖ😀☀") for _ in range(rng.randrange(1, 4)))
+            texts.append("a " + "".join(bytes([b]).decode(e, "ignore") or chr(b) for b in true.encode()) + " é z")
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select("t", repair.foreign(F.col("t")).rlike(repair.SUSPICIOUS).alias("s"), repair.repair(F.col("t")).alias("r"))
+    got = df.collect()
+    assert not got[0]["s"] and not got[1]["s"]
+    assert all(r["r"] == repair.repaired(r["t"]) for r in got) and sum(r["r"] != r["t"] for r in got) > 100
+
+
+def test_white_space_noise_and_emoji_in_any_text(spark):
+    texts = ["a \n b\x1c\x1dc", "a\t\té\u3000 z", "\x85a\u2028b", "one  two   ", "x http://a#b c@d #e @f", "é\u200d☀ é", "a  ☀  b", "HTTP a&nbsp;&nbsp;b"]
+    want = ["a b c", "a é z", "a b", "one two", "x", "é é", "a b", "HTTP a b"]
+    assert [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(fn.clean_text(F.col("t"))).collect()] == want
