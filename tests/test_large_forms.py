@@ -266,3 +266,28 @@ def test_betweenness_splits_components(spark, monkeypatch):
     got = {r["node"]: r["betweenness"] for r in op.betweenness(df, small=40).collect()}
     assert told == [[(10, False), (30, True), (36, True)]]
     assert got == pytest.approx(numpy_betweenness(pairs))
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    """More rows and pairs go to more tasks, and names are found once however often they are asked for."""
+    from tidewire.operators import network
+
+    monkeypatch.setattr(network, "ROWS", 10)
+    monkeypatch.setattr(network, "PAIRS", 20)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def names(d):
+        seen.add(1)
+        return [f"n{(d * k) % 17}" for k in range(1, 6)]
+
+    edges = op.cooccurrence_edges(spark.range(1, 41).select(F.col("id").alias("doc_id"), names("id").alias("entities")), 2)
+    assert edges.rdd.getNumPartitions() == 20 or "REPARTITION_BY_NUM" in edges._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for d in range(1, 41):
+        found = sorted({f"n{(d * k) % 17}" for k in range(1, 6)})
+        for i, a in enumerate(found):
+            for b in found[i + 1 :]:
+                want[a, b] = want.get((a, b), 0) + 1
+    assert {(r["src"], r["dst"]): r["weight"] for r in edges.collect()} == {k: v for k, v in want.items() if v > 1}
+    assert seen.value == 40
