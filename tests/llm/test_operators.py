@@ -154,6 +154,20 @@ def test_lines_without_spaces(spark):
     assert got <= 1.02 * len(pairs) / 4
 
 
+def test_alike_lines_are_united_by_few_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    base = prose(rng, 60)
+    rows = [(i, x, "s") for i, x in enumerate(changed(rng, base, 1) for _ in range(150))]
+    pairs, merged = [], line_dedup._merged
+    monkeypatch.setattr(line_dedup, "_merged", lambda roots, links: pairs.append(links.count()) or merged(roots, links))
+    # Hubs of the first turn unite nothing, so that all is left to the comparison by sets.
+    monkeypatch.setattr(line_dedup, "_alike", lambda a, b: F.lit(False))
+    monkeypatch.setattr(line_dedup, "PAIRS_EACH", 1_000_000)
+    monkeypatch.setattr(line_dedup, "HUBS", 4, raising=False)
+    assert line_dedup.dedup_lines(frame(spark, rows, clash=False)).where("n_dropped = 0").count() <= 8
+    assert len(pairs) > 1 and max(pairs) <= 30 * len(rows)
+
+
 # 2 decontamination
 
 
