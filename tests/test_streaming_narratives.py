@@ -3,10 +3,12 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidewire import operators as op
 from tidewire.streaming import latest, narratives, run_to_files, run_to_tables, tumbling_volumes
+from tidewire.streaming.narratives import Narrative
 
 T0 = datetime(2025, 1, 1)
 KINDS = "narrative long, actor string, mention_id long, ts timestamp"
@@ -69,3 +71,23 @@ def test_volumes_by_table(spark, folder):
     for _, a, _, ts in rows:
         want[ts.replace(hour=0), a] = want.get((ts.replace(hour=0), a), 0) + 1
     assert {(r["start"], r["event_type"]): r["count"] for r in out.collect()} == want
+
+
+def test_a_call_reads_state_once_and_writes_the_actors_named():
+    class State(dict):
+        calls = []
+
+        def iterator(self):
+            self.calls.append("read")
+            return iter(list(self.items()))
+
+        def updateValue(self, key, value):
+            self.calls.append(key[0])
+            self[key] = value
+
+    n = Narrative(None)
+    n.actors = State({("A",): (5, 1, 2), ("B",): (9, 2, 1)})
+    rows = [Row(actor=a, us=us, mention_id=m) for a, us, m in (("B", 4, 7), ("C", 6, 3), ("B", 4, 6))]
+    out = [*n.handleInputRows((1,), iter(rows), None)]
+    assert sorted(State.calls) == ["B", "C", "read"] and dict(n.actors) == {("A",): (5, 1, 2), ("B",): (4, 6, 3), ("C",): (6, 3, 1)}
+    assert [(r["actor"], r["originator"], r["joined_us"], r["place"], r["seen"]) for r in out] == [("B", "B", 4, 1, 6), ("A", "B", 5, 2, 6), ("C", "B", 6, 3, 6)]

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: A row for each actor of a narrative, each time the narrative changes: `seen` counts its mentions so far, `closed` rows are its last.
 OUTPUT = "narrative long, actor string, originator string, first_ts timestamp, joined_ts timestamp, mentions long, lag_seconds double, place int, seen long, closed boolean"
 _NAMES = [c.split(" ")[0] for c in OUTPUT.split(", ")]
+#: The same with times in microseconds, as state has them.
+_TOLD = OUTPUT.replace("_ts timestamp", "_us long")
 #: What arbitrary state is kept in.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -19,7 +20,8 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 class Narrative(StatefulProcessor):
     """State of one narrative: a row for each actor, with its first mention and the number of its mentions.
 
-    With quiet_ms the narrative is closed and its state dropped once the watermark has passed its newest mention by so much."""
+    With quiet_ms the narrative is closed and its state dropped once the watermark has passed its newest mention by so much.
+    A call reads the state once and writes the actors that its rows name: each access to state is a message to another process."""
 
     def __init__(self, quiet_ms: int | None):
         self.quiet_ms = quiet_ms
@@ -27,36 +29,40 @@ class Narrative(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.actors = handle.getMapState("actors", "actor string", "joined_us long, mention long, mentions long")
-        self.newest = handle.getValueState("newest", "ms long")
+        if self.quiet_ms is not None:
+            self.newest = handle.getValueState("newest", "ms long")
+
+    def _held(self) -> dict[str, tuple[int, int, int]]:
+        return {actor: (us, mention, n) for (actor,), (us, mention, n) in self.actors.iterator()}
 
-    def _rows(self, key, closed: bool) -> pd.DataFrame:
-        found = sorted((us, mention, actor, n) for (actor,), (us, mention, n) in self.actors.iterator())
+    def _rows(self, key, held: dict[str, tuple[int, int, int]], closed: bool) -> Iterator[Row]:
+        found = sorted((us, mention, actor, n) for actor, (us, mention, n) in held.items())
         began, _, originator, _ = found[0]
         places = {actor: k for k, (_, actor) in enumerate(sorted((us, actor) for us, _, actor, _ in found), 1)}
-        seen, time = sum(n for *_, n in found), lambda us: pd.Timestamp(us, unit="us")
-        return pd.DataFrame([(key[0], actor, originator, time(began), time(us), n, (us - began) / 1e6, places[actor], seen, closed) for us, _, actor, n in found], columns=_NAMES)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = self.newest.get()[0] if self.newest.exists() else None
-        for b in rows:
-            b = pd.DataFrame({"actor": b["actor"], "us": b["ts"].astype("datetime64[us]").astype("int64"), "mention": b["mention_id"]}).sort_values(["us", "mention"])
-            for actor, own in b.groupby("actor"):
-                us, mention, n = int(own["us"].iloc[0]), int(own["mention"].iloc[0]), len(own)
-                if self.actors.containsKey((actor,)):
-                    old = self.actors.getValue((actor,))
-                    (us, mention), n = min((us, mention), (old[0], old[1])), n + old[2]
-                self.actors.updateValue((actor,), (us, mention, n))
-            ms = int(b["us"].iloc[-1]) // 1000
-            newest = ms if newest is None else max(newest, ms)
+        seen = sum(n for *_, n in found)
+        for us, _, actor, n in found:
+            yield Row(narrative=key[0], actor=actor, originator=originator, first_us=began, joined_us=us, mentions=n, lag_seconds=(us - began) / 1e6, place=places[actor], seen=seen, closed=closed)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held, named, newest = self._held(), set(), None
+        for r in rows:
+            actor, us, mention = r["actor"], r["us"], r["mention_id"]
+            old = held.get(actor)
+            held[actor] = (us, mention, 1) if old is None else (*min((us, mention), old[:2]), old[2] + 1)
+            named.add(actor)
+            newest = us if newest is None else max(newest, us)
+        for actor in named:
+            self.actors.updateValue((actor,), held[actor])
         if self.quiet_ms is not None:
+            newest = max(newest // 1000, *(self.newest.get() if self.newest.exists() else ()), -(1 << 62))
             for at in [*self.handle.listTimers()]:
                 self.handle.deleteTimer(at)
             self.handle.registerTimer(newest + self.quiet_ms)
-        self.newest.update((newest,))
-        yield self._rows(key, False)
+            self.newest.update((newest,))
+        yield from self._rows(key, held, False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._rows(key, True)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._rows(key, self._held(), True)
         self.actors.clear()
         self.newest.clear()
 
@@ -71,8 +77,9 @@ def narratives(mentions: DataFrame, late: str = "1 day", quiet_ms: int | None =
     quiet_ms is told once more, as closed, and forgotten; if it speaks up again it is a new one. Null narratives, actors and times are left out.
     State is a row for each actor of a running narrative, in RocksDB under the query's checkpoint."""
     mentions.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    rows = mentions.select("narrative", "actor", "mention_id", "ts").dropna(subset=["narrative", "actor", "ts"]).withWatermark("ts", late)
-    return rows.groupBy("narrative").transformWithStateInPandas(Narrative(quiet_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime" if quiet_ms is not None else "None")
+    rows = mentions.select("narrative", "actor", "mention_id", "ts", F.unix_micros("ts").alias("us")).dropna(subset=["narrative", "actor", "ts"]).withWatermark("ts", late)
+    told = rows.groupBy("narrative").transformWithState(Narrative(quiet_ms), outputStructType=_TOLD, outputMode="Append", timeMode="EventTime" if quiet_ms is not None else "None")
+    return told.withColumns({c: F.timestamp_micros(c) for c in ("first_us", "joined_us")}).toDF(*_NAMES)
 
 
 def latest(told: DataFrame) -> DataFrame:
