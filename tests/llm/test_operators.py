@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import changed, documents, frame, prose
-from tidewire.llm import chat, decontaminate, licenses, line_dedup, lm, mixing, quality, set_join, shingles, token_store, warc
+from tidewire.llm import chat, decontaminate, licenses, line_dedup, lm, mixing, quality, set_join, shared, shingles, token_store, warc
 from tidewire.llm.components import components
 from tidewire.llm.gru import Gru
 
@@ -589,6 +589,30 @@ def test_light_subsets_and_boundary():
     assert few in set_join.LIGHT and many in set_join.LIGHT
 
 
+def test_lines_are_dealt_and_not_their_sets(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [prose(rng, 40) for _ in range(3)]
+    rows = [(i, changed(rng, base[i % 3], 2), "s") for i in range(60)]
+    _, line, find = brute_lines(rows)
+    kept, keep = {}, shared.keep
+    monkeypatch.setattr(shared, "keep", lambda df, name, *by: kept.setdefault(name, df.columns) and keep(df, name, *by))
+    monkeypatch.setattr(line_dedup, "TOGETHER", 2, raising=False)
+    left = [line(r["text"]) for r in line_dedup.dedup_lines(frame(spark, rows, clash=False)).where("n_dropped = 0").collect()]
+    assert sorted(map(find, left)) == sorted({find(line(t)) for _, t, _ in rows})
+    assert "line" in kept["sets"] and "s" not in kept["sets"]
+
+
+def test_few_links_are_few_tasks(spark, monkeypatch):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    found, keep = [], shared.keep
+    monkeypatch.setattr(shared, "keep", lambda df, name, *by: found.append(keep(df, name, *by)) or found[-1])
+    try:
+        assert components(spark.range(40).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))).select("root").distinct().count() == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(found) > 2 and all(len(x.inputFiles()) == 1 for x in found[1:])
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000 + i) for i in range(50)] + [(5, 5), (None, 3)]
