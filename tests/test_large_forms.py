@@ -291,3 +291,20 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
                 want[a, b] = want.get((a, b), 0) + 1
     assert {(r["src"], r["dst"]): r["weight"] for r in edges.collect()} == {k: v for k, v in want.items() if v > 1}
     assert seen.value == 40
+
+
+def test_names_one_a_row_are_lists_nowhere(spark, monkeypatch):
+    """Rows of names make the edges that lists make, repeats, blanks and nulls counted once or not at all; they're dealt by their number, and so are the parts of an order."""
+    from tidewire.operators import network
+    from tidewire.plans import queries
+
+    rows = spark.range(400).select((F.col("id") % 40).alias("doc_id"), F.when(F.col("id") % 23 > 0, F.concat(F.lit(" n"), F.col("id") * 7 % 17)).alias("entities"))
+    lists = rows.groupBy("doc_id").agg(F.collect_list("entities").alias("entities"))
+    want = {tuple(r) for r in op.cooccurrence_edges(lists, 2).collect()}
+    monkeypatch.setattr(network, "ROWS", 20)
+    assert {tuple(r) for r in op.cooccurrence_edges(rows, 2).collect()} == want and want
+    assert network._named(rows, 1, "doc_id", "entities").rdd.getNumPartitions() >= 19
+    seen = []
+    monkeypatch.setattr(queries.op, "cooccurrence_edges", lambda docs, least: seen.append(docs))
+    queries.part_edges(spark, "/root/testdata/sf0.001")
+    assert dict(seen[0].dtypes)["entities"] == "string"
