@@ -308,3 +308,13 @@ def test_names_one_a_row_are_lists_nowhere(spark, monkeypatch):
     monkeypatch.setattr(queries.op, "cooccurrence_edges", lambda docs, least: seen.append(docs))
     queries.part_edges(spark, "/root/testdata/sf0.001")
     assert dict(seen[0].dtypes)["entities"] == "string"
+
+
+def test_ids_that_never_repeat_are_not_sorted(spark):
+    """Without repeats no window stands over the texts; with them, nulls among them, the first row of each id stays."""
+    rows = lambda ids: spark.createDataFrame([(i, f"t{k}", k) for k, i in enumerate(ids)], "ARTICLE_ID string, HEADLINE string, _ord long")
+    once = op.preprocess(rows(["a", "b", "c"]))
+    assert "Window" not in once._jdf.queryExecution().optimizedPlan().toString() and once.count() == 3
+    again = op.preprocess(rows(["a", None, "a", None, "b"]))
+    assert {(r["ARTICLE_ID"], r["HEADLINE"]) for r in again.select("ARTICLE_ID", "HEADLINE").collect()} == {("a", "t0"), (None, "t1"), ("b", "t4")}
+    assert op.preprocess(rows(["a"]).limit(0)).count() == 0
