@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import changed, documents, frame, prose
-from tidewire.llm import chat, decontaminate, licenses, line_dedup, lm, mixing, quality, set_join, shared, shingles, token_store, warc
+from tidewire.llm import chat, decontaminate, gru, licenses, line_dedup, lm, mixing, quality, set_join, shared, shingles, token_store, warc
 from tidewire.llm.components import components
 from tidewire.llm.gru import Gru
 
@@ -291,6 +291,40 @@ def test_gru_is_a_distribution_and_carries_its_state():
     assert np.allclose(by[0], by[1], atol=1e-5) and np.allclose(by[0], by[2], atol=1e-5)
 
 
+def test_gru_against_a_token_at_a_time(monkeypatch):
+    """Scores of documents in lanes, where classes are of unequal length and logits beyond 80, are those of a plain walk; windows do a class's softmax at once."""
+    rng = np.random.default_rng(3)
+    class_of = np.array([0, 0, 0, 1, 1, 2])
+    net = Gru(9, class_of, rng.standard_normal(5), rng.standard_normal(6), 4)
+    net.p = {k: (v + (6 if k == "w" else 1) * rng.standard_normal(v.shape)).astype(np.float32) for k, v in net.p.items()}
+    size, n = np.array([30, 1, 9, 14]), 54
+    read, word = rng.integers(0, 10, n), rng.integers(-1, 6, n)
+    cls = np.where(word >= 0, class_of[word], rng.integers(3, 5, n))
+    p, want, starts = {k: v.astype(float) for k, v in net.p.items()}, [], {0, 30, 31, 40}
+    log = lambda x: x - np.log(np.exp(x).sum())
+    for i in range(n):
+        h = np.zeros(4) if i in starts else h
+        g, u = p["x"][read[i]], h @ p["u"]
+        z, r = (1 / (1 + np.exp(-g[k : k + 4] - u[k : k + 4])) for k in (0, 4))
+        new = np.tanh(g[8:] + r * u[8:])
+        h = new + z * (h - new)
+        of = np.flatnonzero(class_of == cls[i])
+        want.append(log(h @ p["c"] + p["cb"])[cls[i]] + (log(p["w"][of] @ h + p["wb"][of])[list(of).index(word[i])] if word[i] >= 0 else 0))
+    calls, softmax = [], gru._softmax
+    monkeypatch.setattr(gru, "_softmax", lambda *a: calls.append(1) or softmax(*a))
+    assert np.allclose(net.run(size, read, cls, word, 3, 16), want, atol=1e-3)
+    # A softmax over classes and one over words in each window, however many classes there are.
+    assert len(calls) <= 2 * -(-30 // 16)
+
+
+def test_training_looks_up_head_words_alone(monkeypatch):
+    h, kind = np.arange(10, 2000, dtype=np.int64), np.zeros(1990, np.int64)
+    model = lm.Model((h, kind, np.arange(1990, 0, -1)), {0: (2000, 1990)}, 2000, 1990)
+    monkeypatch.setattr(lm.Model, "look_up", lambda *a: pytest.fail("the table of fast words"))
+    cls, word, read = model.coded(np.array([2, 2]), np.array([10, 1999, 521, 522], np.uint64), np.zeros(4, np.uint8))
+    assert word.tolist() == [0, -1, 511, -1] and cls.tolist() == [0, 16, 15, 16] and read.tolist() == [544, 0, 544, 511]
+
+
 def test_lm_scores(spark, docs, monkeypatch):
     monkeypatch.setattr(lm, "FAST", 50)
     tokens = [[*(w for w in lower(t).encode().split()), b""] for _, t, _ in ROWS]

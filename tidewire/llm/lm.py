@@ -120,11 +120,10 @@ class Model:
         h, kind, c = top
         order = np.argsort(h.view(U))
         self.fast, self.fast_count = h.view(U)[order], c[order]
-        head = np.full(len(h), -1, np.int64)
-        head[: min(HEAD, len(h))] = np.arange(min(HEAD, len(h)))
-        self.fast_head = head[order]
         k = min(HEAD, len(h))
         self.n_head = k
+        self.head_word = np.argsort(h[:k].view(U))
+        self.head = h[:k].view(U)[self.head_word]
         self.class_of = np.arange(k) // CLASS
         self.head_classes = -(-k // CLASS)
         sums = np.zeros((KINDS, 2))
@@ -144,21 +143,26 @@ class Model:
 
     def look_up(self, h: np.ndarray) -> np.ndarray:
         """Place among the fast words, or -1."""
-        if not len(self.fast):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.fast, h), len(self.fast) - 1)
-        return np.where(self.fast[at] == h, at, -1)
+        return _found(self.fast, h)
 
     def coded(self, size: np.ndarray, h: np.ndarray, kind: np.ndarray):
-        """Place among fast words, class, head word (or -1), and the token read before it."""
+        """Class, head word (or -1), and the token read before it. Head words are few, so they are looked up by themselves."""
         kind = kind.astype(np.int64)
-        at = self.look_up(h)
-        word = np.where(at >= 0, self.fast_head[at], -1) if len(self.fast) else np.full(len(h), -1)
+        at = _found(self.head, h)
+        word = np.where(at >= 0, self.head_word[at], -1) if self.n_head else at
         cls = np.where(word >= 0, self.class_of[word] if self.n_head else 0, self.head_classes + kind)
         read = np.empty(len(h), np.int64)
         read[1:] = np.where(word >= 0, word, self.n_head + kind)[:-1]
         read[np.cumsum(size) - size] = self.n_head + KINDS
-        return at, cls, word, read
+        return cls, word, read
+
+
+def _found(sorted_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Place of each h in an ascending array, or -1."""
+    if not len(sorted_):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(sorted_, h), len(sorted_) - 1)
+    return np.where(sorted_[at] == h, at, -1)
 
 
 def _chunks(batches, columns: int):
@@ -185,7 +189,7 @@ def trained(rows: DataFrame, model: Model) -> np.ndarray | None:
         net, seen = told.value.network(), 0
         for of, size, h, kind in _chunks(batches, 1):
             shard = of[0].column(0)[0].as_py()
-            _, cls, word, read = told.value.coded(size, h, kind)
+            cls, word, read = told.value.coded(size, h, kind)
             net.run(size, read, cls, word, int(np.clip(len(h) // (WINDOW * 200), 8, WIDE)), WINDOW, RATE)
             seen += len(h)
         if seen:
@@ -218,7 +222,7 @@ def scored(rows: DataFrame, model: Model, kind_of_id: str) -> DataFrame:
         m = told.value
         net = m.network()
         for docs, size, h, kind in _chunks(batches, 3):
-            at, cls, word, read = m.coded(size, h, kind)
+            at, (cls, word, read) = m.look_up(h), m.coded(size, h, kind)
             logs = net.run(size, read, cls, word, WIDE, 4 * WINDOW) / np.log(10)
             of = np.repeat(np.arange(len(size)), size)
             fast, rest = at >= 0, word < 0
