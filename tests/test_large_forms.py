@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire import operators as op
-from tidewire.operators import attribution, centrality, quantiles
+from tidewire.operators import attribution, centrality, network, quantiles
 
 
 def numpy_betweenness(pairs):
@@ -318,3 +318,60 @@ def test_ids_that_never_repeat_are_not_sorted(spark):
     again = op.preprocess(rows(["a", None, "a", None, "b"]))
     assert {(r["ARTICLE_ID"], r["HEADLINE"]) for r in again.select("ARTICLE_ID", "HEADLINE").collect()} == {("a", "t0"), (None, "t1"), ("b", "t4")}
     assert op.preprocess(rows(["a"]).limit(0)).count() == 0
+
+
+def _graph(src, dst):
+    src, dst = np.r_[src, dst], np.r_[dst, src]
+    _, s = np.unique(src, return_inverse=True)
+    order = np.argsort(s, kind="stable")
+    return np.concatenate([[0], np.cumsum(np.bincount(s))]), np.searchsorted(np.unique(src), dst[order])
+
+
+def test_twins_and_matrices_carry_the_same_as_a_search_from_each_node(monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(5))
+    for n, p in ((3, 1), (6, 0.4), (30, 0.1), (50, 0.9), (120, 0.03), (100, 0.3)):
+        x, y = np.triu_indices(n, 1)
+        some = rng.random(len(x)) < p
+        some[0] = True
+        g = _graph(x[some], y[some])
+        want = sum(centrality._dependencies(*g, s) for s in range(len(g[0]) - 1))
+        for dense in (0, 3000):
+            monkeypatch.setattr(centrality, "DENSE", dense)
+            for slices in (1, 3):
+                assert np.allclose(sum(centrality._carried(*g, k, slices) for k in range(slices)), want, rtol=1e-12, atol=1e-9)
+
+
+def test_a_search_for_each_kind_of_node_and_none_where_a_matrix_holds_the_edges(monkeypatch):
+    searched, one = [], centrality._dependencies
+    monkeypatch.setattr(centrality, "_dependencies", lambda first, to, s: searched.append(s) or one(first, to, s))
+    assert centrality._carried(*_graph(np.zeros(200, int), np.arange(1, 201)), 0, 1).tolist() == [200 * 199.0] + [0.0] * 200 and len(searched) == 2
+    searched.clear()
+    x, y = np.triu_indices(80, 1)
+    centrality._carried(*_graph(x[1:], y[1:]), 0, 1)
+    assert not searched
+
+
+def test_components_read_the_edges_of_a_dense_graph_in_one_round(spark, monkeypatch):
+    from tidewire.operators import connected
+
+    rows, cut = [], connected.cut
+    monkeypatch.setattr(connected, "cut", lambda df: (lambda r: rows.append(r.count()) or r)(cut(df)))
+    edges = [(a + 100 * k, b + 100 * k) for k in range(3) for a in range(30) for b in range(a + 1, 30)]
+    got = {r[0]: r[1] for r in connected.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {a + 100 * k: 100 * k for k in range(3) for a in range(30)}
+    assert sum(n >= len(edges) for n in rows) == 1
+    path = [(i * 7919 % 101, (i + 1) * 7919 % 101) for i in range(99)] + [(500, 500), (600, 601), (601, 600)]
+    got = {r[0]: r[1] for r in connected.components(spark.createDataFrame(path, "src long, dst long")).collect()}
+    one = {n for e in path[:99] for n in e}
+    assert got == {n: min(one) for n in one} | {500: 500, 600: 600, 601: 600}
+
+
+def test_names_are_not_dealt_by_name_where_all_are_in_documents_enough(spark, monkeypatch):
+    dealt, own = [], network._dealt
+    monkeypatch.setattr(network, "_dealt", lambda df, rows, each, *keys: dealt.append(keys) or own(df, rows, each, *keys))
+    rows = [(d, e) for d in range(6) for e in ("a", " b", "c ", "a")] + [(7, ""), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, entities string")
+    assert sorted(map(tuple, network.cooccurrence_edges(docs).collect())) == [("a", "b", 6), ("a", "c", 6), ("b", "c", 6)] and ("e",) not in dealt
+    docs = spark.createDataFrame(rows + [(1, "z")], "doc_id long, entities string")
+    assert network.cooccurrence_edges(docs).count() == 3 and ("e",) in dealt
+    assert network.cooccurrence_edges(docs.limit(0)).count() == 0
