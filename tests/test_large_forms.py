@@ -375,3 +375,17 @@ def test_names_are_not_dealt_by_name_where_all_are_in_documents_enough(spark, mo
     docs = spark.createDataFrame(rows + [(1, "z")], "doc_id long, entities string")
     assert network.cooccurrence_edges(docs).count() == 3 and ("e",) in dealt
     assert network.cooccurrence_edges(docs.limit(0)).count() == 0
+
+
+def test_a_dense_component_is_not_copied_to_more_tasks_than_its_products_are_worth(spark, monkeypatch):
+    from tidewire.operators import connected
+
+    x, y = np.triu_indices(40, 1)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(x[1:], y[1:])], "src long, dst long")
+    monkeypatch.setattr(centrality, "WORK", 2 * 779 * 40 / 8)
+    deals, own = [], centrality._in_tasks
+    monkeypatch.setattr(centrality, "_in_tasks", lambda both, deal, tasks: deals.append(deal.first()["slices"]) or own(both, deal, tasks))
+    got = {r["node"]: r["betweenness"] for r in centrality.betweenness(edges).collect()}
+    assert deals == [1] and got == pytest.approx({k: 1 / 39 / 38 * 2 / 38 if k > 1 else 0 for k in range(40)})
+    monkeypatch.setattr(connected, "BROADCAST_NODES", 0)  # joined by shuffle
+    assert {r["node"]: r["betweenness"] for r in centrality.betweenness(edges).collect()} == pytest.approx(got)
